@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, mixing, packing, url_filter, warc
 
 #: The url rules of query op1.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -25,6 +25,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder).drop("url", "payload")
+
+
 OP1_SQL = r"""
 WITH u AS (
   SELECT page_id,
@@ -47,10 +65,20 @@ w AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER g AS keep_id, count(*
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM w
 """
 
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT h, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (1 + ((('0x' || substr(h, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31))::INT, 1)), 'string_agg', '') AS payload_digest
+      FROM (SELECT DISTINCT h FROM p)),
+w AS (SELECT *, row_number() OVER g AS rn, first_value(page_id) OVER g AS response FROM p WINDOW g AS (PARTITION BY h ORDER BY page_id DESC))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN rn = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN rn > 1 THEN response END AS refers_to
+FROM w JOIN d USING (h)
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op7_mix_sources, op8_pack, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op10_warc": OP10_SQL}
