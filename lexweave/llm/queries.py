@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, url_filter, warc
+from . import exact_dedup, mixing, near_dedup, packing, url_filter, warc
 
 #: The url rules of query op1.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -37,6 +37,11 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -77,7 +82,7 @@ FROM w JOIN d USING (h)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op7_mix_sources, op8_pack, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op7_mix_sources, op8_pack, op9_near_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
