@@ -24,6 +24,11 @@ from .staging import fresh_path, staged
 WHITE = r"[\x20\x09-\x0D]+"
 #: Copies checked against one copy of the retained text.
 COPIES_A_SALT = 256
+#: State on disk; without preallocation, which takes megabytes for each of many small state partitions.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -48,14 +53,16 @@ def streamed_groups(slim: DataFrame, files_per_trigger: int | None = None) -> tu
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     kept = (reader.parquet(path).groupBy("digest")
             .agg(F.max(F.struct("n_points", (-F.col("id")).alias("neg_id"), "_file", "_row")).alias("best"), F.count("*").alias("n")))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (kept.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", state)
                  .foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/b={n}")).start())
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     schema = f"digest binary, best {slim.select(F.struct('n_points', F.lit(0).cast('long').alias('neg_id'), '_file', '_row').alias('x')).schema['x'].dataType.simpleString()}, n long, batch long, b long"
     versions = spark.read.schema(schema).parquet(sink) if query.lastProgress and _exists(spark, sink) else spark.createDataFrame([], schema)
     return versions.groupBy("digest").agg(F.max_by("best", "batch").alias("best"), F.max_by("n", "batch").alias("n")), path
