@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from . import ann, exact_dedup, html_extract, mixing, near_dedup, packing, quality, substring_dedup, url_filter, warc
 
 #: The url rules of query op1.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -39,6 +39,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -96,7 +100,7 @@ FROM w JOIN d USING (h)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op4_substring_dedup, op5_neighbours, op7_mix_sources, op8_pack, op9_near_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op4_substring_dedup, op5_neighbours, op6_html_text, op7_mix_sources, op8_pack, op9_near_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
