@@ -7,9 +7,9 @@
 * Signatures.  Texts with the same words are collapsed to one representative.  Improved consistent weighted
   sampling (Ioffe, 2010) draws BANDS x ROWS samples (shingle, quantised log weight); equal bands share a bucket.
 * Links.  In rounds, each bucket's first unsettled member leads and all members not yet compared with it are verified by
-  weighted Jaccard similarity; members that match no leader stay unsettled.  After the rounds, members of a bucket
-  that are still in different components are compared with each other unless the triangle inequality of
-  the weighted Jaccard distance to a common leader rules a link out, so no link within a bucket is lost and no bucket's pairs are expanded.
+  weighted Jaccard similarity; members that match no leader stay unsettled.  After the rounds, documents whose
+  buckets still hold different components are joined on the rarest shingles that leave less than the threshold of their
+  weight (prefix filtering, which is exact), across components only: no link is lost and no bucket's pairs are expanded.
 * Classes are connected components of the links.
 
 Only (band, id) rows and pairs are grouped.  A bucket's leader comes from a map-side minimum, and joins on a
@@ -233,14 +233,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, held, words: int) -> DataFrame
     return staged(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, d double"), "near-verified")
 
 
+def _prefixes(docs: DataFrame, held, threshold: float, words: int) -> DataFrame:
+    """(h, id, component, total): each document's rarest shingles, as many as leave less than `threshold` of its weight.
+
+    Two documents that share none of these cannot be linked: what they share would be all in the rest of one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, component = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, part in pieces(batch.column(2)):
+                row, h, times = shingle_counts(part, words)
+                w = held.value(h, times)
+                order = np.lexsort((h, times / w, row))
+                row, h, w = row[order], h[order], w[order]
+                total = np.bincount(row, w, minlength=len(part))
+                before = np.cumsum(w) - w
+                before -= before[np.searchsorted(row, row)]
+                # A shingle is in the prefix while what stands before it is not yet enough.
+                on = total[row] - before >= (threshold - 1e-9) * total[row]
+                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(ids[row[on] + at]), pa.array(component[row[on] + at]), pa.array(total[row[on]])], ["h", "id", "component", "total"])
+
+    return docs.mapInArrow(run, "h long, id long, component long, total double")
+
+
 def _linked(entries: DataFrame, texts: DataFrame, held, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
     """Links (a < b), and every pair compared."""
     far = 1 - threshold + 1e-12
     open_ = entries.select("bucket", "id")
-    compared = leaders = None
+    compared = None
     for _ in range(LEADER_ROUNDS):
         lead = open_.groupBy("bucket").agg(F.min("id").alias("lead"))
-        led = entries.filter("n > 2") if leaders is not None else entries
+        led = entries.filter("n > 2") if compared is not None else entries
         met = led.select("bucket", "id").join(lead, "bucket").filter("id <> lead").select("bucket", F.col("id"), "lead")
         pairs = met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         if compared is not None:
@@ -248,25 +272,23 @@ def _linked(entries: DataFrame, texts: DataFrame, held, threshold: float, words:
         fresh = _verified(pairs, texts, held, words)
         compared = fresh if compared is None else compared.unionByName(fresh)
         here = met.select("bucket", "id", "lead", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).join(compared, ["a", "b"]).select("bucket", "id", "lead", "d")
-        leaders = here if leaders is None else leaders.unionByName(here)
         settled = here.filter(F.col("d") <= far).select("bucket", "id").unionByName(lead.select("bucket", F.col("lead").alias("id")))
         open_ = staged(open_.join(settled, ["bucket", "id"], "left_anti"), "near-open")
         if open_.isEmpty():
             break
     links = compared.filter(F.col("d") <= far).select("a", "b")
-    # What is left: members of one bucket in different components, unless a common leader's distances rule a link out.
+    # What is left: members of one bucket in different components.
     many = entries.filter("n > 2")
     parts = components(links.unionByName(many.select(F.col("id").alias("a"), F.col("id").alias("b"))))
     marked = many.join(parts, "id")
     mixed = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    marked = staged(marked.join(mixed, "bucket").select("bucket", "id", "component"), "near-mixed")
+    marked = staged(marked.join(mixed, "bucket").select("id", "component").distinct(), "near-mixed")
     if not marked.isEmpty():
-        x, y = marked.alias("x"), marked.alias("y")
-        rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")))
-        rest = rest.select(F.col("x.bucket").alias("bucket"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        da, db = leaders.select("bucket", F.col("id").alias("a"), "lead", F.col("d").alias("da")), leaders.select("bucket", F.col("id").alias("b"), "lead", F.col("d").alias("db"))
-        out = rest.join(da, ["bucket", "a"]).join(db, ["bucket", "b", "lead"]).filter(F.abs(F.col("da") - F.col("db")) > far).select("a", "b").distinct()
-        rest = rest.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti").join(out, ["a", "b"], "left_anti")
+        prefixes = staged(_prefixes(texts.join(marked, "id").select("id", "component", "text"), held, threshold, words), "near-prefixes")
+        x, y = prefixes.alias("x"), prefixes.alias("y")
+        alike = F.least("x.total", "y.total") >= (threshold - 1e-9) * F.greatest("x.total", "y.total")
+        rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike)
+        rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
         fresh = _verified(rest, texts, held, words)
         compared = compared.unionByName(fresh)
         links = links.unionByName(fresh.filter(F.col("d") <= far).select("a", "b"))
