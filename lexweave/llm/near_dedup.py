@@ -244,9 +244,9 @@ def _prefixes(docs: DataFrame, held, threshold: float, words: int) -> DataFrame:
             ids, component = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, part in pieces(batch.column(2)):
                 row, h, times = shingle_counts(part, words)
-                w = held.value(h, times)
-                order = np.lexsort((h, times / w, row))
-                row, h, w = row[order], h[order], w[order]
+                idf = held.value(h, np.ones(len(h)))
+                order = np.lexsort((h, -idf, row))
+                row, h, w = row[order], h[order], (times * idf)[order]
                 total = np.bincount(row, w, minlength=len(part))
                 before = np.cumsum(w) - w
                 before -= before[np.searchsorted(row, row)]
