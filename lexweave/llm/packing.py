@@ -10,7 +10,9 @@ next island of the shard through a table in the shared folder; the best packing
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,39 +25,69 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 #: Characters that Python's split() takes for white space and the tokenizer does not.
-_NOT_WHITE = {chr(c) for c in range(0x1C, 0x20)}
-#: Chunks whose ids a worker keeps, and the longest chunk kept.
-CACHED, CACHED_CHARS = 400_000, 64
+_NOT_WHITE = re.compile("[\x1c-\x1f]")
+#: Entries of each half of a worker's caches.
+CACHED = 150_000
+#: Chunks whose pieces can be read off: Latin letters, single digits and runs of ASCII marks; no apostrophe, which can join a
+#: letter, and no `<|`, which can begin a special token.
+_PLAIN = re.compile(r"(?!.*<\|)(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
+_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _TOKENIZERS: dict[str, _Chunks] = {}
 
 
-class _Chunks(dict):
-    """Token ids, as little-endian bytes, of white-space-delimited chunks.
+class _Cache(dict):
+    """A dictionary that makes its values and keeps the recently used ones, in two generations of at most CACHED each."""
 
-    The tokenizer drops white space before merging, so a text's ids are those of its chunks in turn.
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Chunks:
+    """Token ids, as little-endian bytes, of a text by its white-space-delimited chunks.
+
+    The tokenizer drops white space before merging, so a text's ids are those of its chunks in turn; the ids of a plain chunk are
+    those of its lower-cased pieces, which repeat far more often than chunks do.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        # Pieces are read off only for the pipeline that they are written for; any other tokenizer gets whole chunks.
+        self.direct = [x["type"] for x in (config.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and config["model"]["type"] == "BPE"
+        bytes_seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in bytes_seen]
+        self.visible = {b: chr(b) for b in bytes_seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.pieces, self.chunks = _Cache(self._piece), _Cache(self._chunk)
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.raw(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.visible)
+        return np.asarray([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.direct and _PLAIN.fullmatch(chunk):
+            return b"".join([self.pieces[p] for p in _PIECE.findall(chunk.lower())])
+        return self.raw(chunk)
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in _NOT_WHITE):
+        if _NOT_WHITE.search(text):
             return self.raw(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 0) -> DataFrame:
