@@ -267,11 +267,12 @@ def replace_action(rank: Column) -> Column:
 
 
 def raw_spacing(text: Column) -> Column:
-    """Spaces missing around dates, years and sentence starts are put in."""
+    """Spaces missing before dates, years and capitals are put in."""
     months = "января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря"
-    text = F.regexp_replace(text, rf"(?iu)([.!?])(?=\d{{1,2}}\s+(?:{months}))", "$1 ")
-    text = F.regexp_replace(text, r"(\d{4})(?=[А-ЯЁA-Z][а-яёa-z])", "$1 ")
-    return F.regexp_replace(text, r"([а-яёa-z][.!?])(?=[А-ЯЁA-Z][а-яёa-z])", "$1 ")
+    text = F.regexp_replace(strip(text), rf"(?iuU)([.!?])(?=\d{{1,2}}\s+(?:{months})\b)", "$1 ")
+    text = F.regexp_replace(text, r"(?U)([.!?])(?=\d{4}\b)", "$1 ")
+    text = F.regexp_replace(text, r"(?U)(\b\d{4})(?=[A-ZА-ЯЁ])", "$1 ")
+    return F.regexp_replace(text, r"([.!?])(?=[A-ZА-ЯЁ])", "$1 ")
 
 
 def prompt(text: Column, template: str) -> Column:
