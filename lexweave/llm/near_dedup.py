@@ -8,7 +8,7 @@
   sampling (Ioffe, 2010) draws BANDS x ROWS samples (shingle, quantised log weight); equal bands share a bucket.
 * Links.  In rounds, each bucket's first unsettled member leads and all members not yet compared with it are verified by
   weighted Jaccard similarity; members that match no leader stay unsettled.  After the rounds, documents whose
-  buckets still hold different components are joined on the rarest shingles that leave less than the threshold of their
+  buckets still hold different components are joined on the least crowded shingles that leave less than the threshold of their
   weight (prefix filtering, which is exact), across components only: no link is lost and no bucket's pairs are expanded.
 * Classes are connected components of the links.
 
@@ -19,9 +19,11 @@ bucket's key are plain equi-joins that adaptive execution splits.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ ROWS, BANDS = 3, 14
 #: Entries of the table of frequent shingles that a task may hold; beyond it FLOOR is doubled until the table fits.
 FREQUENT = 4_000_000
 LEADER_ROUNDS = 3
+#: Bits of the hash values by which shingles are ordered for prefix filtering.
+CROWD_BITS = 20
 _FIXED = np.arange(1, 1 + ROWS * BANDS, dtype=np.uint64)
 
 
@@ -233,20 +237,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, held, words: int) -> DataFrame
     return staged(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, d double"), "near-verified")
 
 
+def _crowding(docs: DataFrame, words: int) -> np.ndarray:
+    """How many documents have a shingle of each of 2 ** CROWD_BITS hash values; a fixed size at any number of documents."""
+    parts = 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CROWD_BITS, np.int64)
+        for batch in batches:
+            for _, part in pieces(batch.column(0)):
+                total += np.bincount((shingle_counts(part, words)[1] >> np.uint64(64 - CROWD_BITS)).astype(np.int64), minlength=len(total))
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts)), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(total, parts)], pa.binary())], ["part", "counts"])
+
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows["counts"])
+        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    found = docs.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(added, "part long, counts binary").orderBy("part").collect()
+    return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in found]) if found else np.zeros(1 << CROWD_BITS, np.int64)
+
+
 def _prefixes(docs: DataFrame, held, threshold: float, words: int) -> DataFrame:
-    """(h, id, component, total): each document's rarest shingles, as many as leave less than `threshold` of its weight.
+    """(h, id, component, total): each document's least crowded shingles, as many as leave less than `threshold` of its weight.
 
-    Two documents that share none of these cannot be linked: what they share would be all in the rest of one of them.
+    Two documents that share none of these cannot be linked: what they share would be all in the rest of one of them.  Any
+    order that is the same for all documents will do; crowded hash values come last, so that passages that many documents share join few.
     """
+    crowd = docs.sparkSession.sparkContext.broadcast(_crowding(docs, words))  # 2 ** CROWD_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, component = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, part in pieces(batch.column(2)):
                 row, h, times = shingle_counts(part, words)
-                idf = held.value(h, np.ones(len(h)))
-                order = np.lexsort((h, -idf, row))
-                row, h, w = row[order], h[order], (times * idf)[order]
+                w = held.value(h, times)
+                order = np.lexsort((h, crowd.value[(h >> np.uint64(64 - CROWD_BITS)).astype(np.int64)], row))
+                row, h, w = row[order], h[order], w[order]
                 total = np.bincount(row, w, minlength=len(part))
                 before = np.cumsum(w) - w
                 before -= before[np.searchsorted(row, row)]
