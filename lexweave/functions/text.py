@@ -79,18 +79,27 @@ def word_slots(text: Column) -> Column:
 
     array<struct<word, gap, punct_after, next_word, prev_word, is_final>>; what stands before the first slot is `leading_gap`.
     """
-    words = F.regexp_extract_all(text, F.lit(SLOT), F.lit(0))
-    gaps = F.split(text, SLOT, -1)
-    n = F.size(words)
+    words, gaps = F.regexp_extract_all(text, F.lit(SLOT), F.lit(0)), F.split(text, SLOT, -1)
 
-    def slot(i: Column) -> Column:
-        gap = F.get(gaps, i + 1)
+    def slot(x: Column) -> Column:
+        gap = x["gap"]
         return F.struct(
-            F.get(words, i).alias("word"), gap.alias("gap"), F.regexp_replace(gap, char_class(P.PUNCT_CHARS, True), "").alias("punct_after"),
-            F.coalesce(F.get(words, i + 1), F.lit("")).alias("next_word"), F.when(i > 0, F.get(words, i - 1)).otherwise("").alias("prev_word"), (i == n - 1).alias("is_final"),
+            x["word"].alias("word"), gap.alias("gap"), F.regexp_replace(gap, char_class(P.PUNCT_CHARS, True), "").alias("punct_after"),
+            F.coalesce(x["next"], F.lit("")).alias("next_word"), x["prev"].alias("prev_word"), x["next"].isNull().alias("is_final"),
         )
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), slot)).otherwise(F.array().cast("array<struct<word:string,gap:string,punct_after:string,next_word:string,prev_word:string,is_final:boolean>>"))
+    # Zipped first: an array that a lambda refers to from outside is computed anew for every element.
+    def zipped(w: Column) -> Column:
+        rest = F.slice(w["w"], 2, 1 << 30)
+        return F.arrays_zip(w["w"].alias("word"), F.slice(w["g"], 2, 1 << 30).alias("gap"), rest.alias("next"), F.concat(F.array(F.lit("")), w["w"]).alias("prev"))
+
+    both = let(F.struct(words.alias("w"), gaps.alias("g")), zipped)
+    return F.transform(F.filter(both, lambda x: x["word"].isNotNull()), slot)
+
+
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def leading_gap(text: Column) -> Column:

@@ -7,11 +7,12 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
 
-OPCODES = "array<struct<op:string,i1:int,i2:int,j1:int,j2:int>>"
+OPCODES = K.ArrayType(K.StructType([K.StructField("op", K.StringType()), *(K.StructField(n, K.IntegerType()) for n in ("i1", "i2", "j1", "j2"))]))
 
 
 @pandas_udf(OPCODES)
@@ -20,7 +21,7 @@ def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("op", "i1", "i2", "j1", "j2"), o)) for o in difflib.SequenceMatcher(None, list(x), list(y)).get_opcodes()] if x is not None and y is not None else None for x, y in zip(a, b)])
 
 
-@pandas_udf("double")
+@pandas_udf(K.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of two strings."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")

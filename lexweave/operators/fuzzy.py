@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from ..functions import gates as G
 
@@ -27,7 +28,7 @@ def within_one(left: DataFrame, right: DataFrame, left_col: str = "norm", right_
     return a.join(b, "_key").filter(G.one_osa(F.col(left_col), F.col(right_col))).select(left_col, right_col).distinct()
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def bounded_osa(a: pd.Series, b: pd.Series) -> pd.Series:
     """Optimal string alignment distance of each pair, 3 if above 2."""
     return pd.Series([_osa(x, y, 2) for x, y in zip(a, b)], dtype="int32")

@@ -150,28 +150,43 @@ def word_error(word: Column, kind: Column, n: Column) -> Column:
 def word_errors(text: Column, key: Column, least: Column, most: Column, rate: Column, seed: int = 42) -> Column:
     """struct<text, labels>: between `least` and `most` words of a text spoilt, at most `rate` of its words of three letters or more."""
     shape = rf"^([^{T.LETTER}]*)([{T.LETTER}]+)([^{T.LETTER}]*)$"
-    words = F.split(T.strip(text), T.WHITE)
-    able = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(shape) & (F.length(F.regexp_extract(w, shape, 2)) > 2), F.struct(number(key, seed, i, "order").alias("h"), i.alias("i")))), lambda x: x.isNotNull())
     wanted = least + F.pmod(number(key, seed, "count"), F.greatest(most - least + 1, F.lit(1))).cast("int")
-    cap = F.when(rate > 0, F.greatest(F.lit(1), F.bround(F.size(able) * rate).cast("int"))).otherwise(0)
-    chosen = F.transform(F.slice(F.array_sort(able), F.lit(1), F.greatest(F.lit(0), F.least(wanted, cap, most))), lambda x: x["i"])
 
-    def spoilt(word: Column, i: Column) -> Column:
+    def able(words: Column) -> Column:
+        places = F.transform(words, lambda w, i: F.when(w.rlike(shape) & (F.length(F.regexp_extract(w, shape, 2)) > 2), F.struct(number(key, seed, i, "order").alias("h"), i.alias("i"))))
+        return F.struct(words.alias("w"), F.array_sort(F.filter(places, lambda x: x.isNotNull())).alias("a"))
+
+    def choice(x: Column) -> Column:
+        cap = F.when(rate > 0, F.greatest(F.lit(1), F.bround(F.size(x["a"]) * rate).cast("int"))).otherwise(0)
+        return F.struct(x["w"].alias("w"), F.transform(F.slice(x["a"], F.lit(1), F.greatest(F.lit(0), F.least(wanted, cap, most))), lambda y: y["i"]).alias("c"))
+
+    def spoilt(word: Column, i: Column, chosen: Column) -> Column:
         core = F.regexp_extract(word, shape, 2)
         done = word_error(core, weighted(WORD_OPS, share(key, seed, i, "kind")), number(key, seed, i, "place"))
-        return F.when(F.array_contains(chosen, i), F.struct(F.concat(F.regexp_extract(word, shape, 1), done["word"], F.regexp_extract(word, shape, 3)).alias("word"), F.when(done["word"] != core, done["label"]).alias("label"))).otherwise(F.struct(word.alias("word"), F.lit(None).cast("string").alias("label")))
+        hit = T.let(F.struct(core.alias("core"), done.alias("done")), lambda y: F.struct(F.concat(F.regexp_extract(word, shape, 1), y["done"]["word"], F.regexp_extract(word, shape, 3)).alias("word"), F.when(y["done"]["word"] != y["core"], y["done"]["label"]).alias("label")))
+        return F.when(F.array_contains(chosen, i), hit).otherwise(F.struct(word.alias("word"), F.lit(None).cast("string").alias("label")))
+
+    def finished(made: Column) -> Column:
+        labels = F.filter(F.transform(made, lambda x: x["label"]), lambda x: x.isNotNull())
+        return F.struct(F.when(F.exists(made, lambda x: x["label"].isNotNull()), F.array_join(F.transform(made, lambda x: x["word"]), " ")).otherwise(text).alias("text"), labels.alias("labels"))
 
-    made = F.transform(words, spoilt)
-    labels = F.filter(F.transform(made, lambda x: x["label"]), lambda x: x.isNotNull())
-    return F.struct(F.when(F.size(labels) > 0, F.array_join(F.transform(made, lambda x: x["word"]), " ")).otherwise(text).alias("text"), labels.alias("labels"))
+    picked = T.let(T.let(F.split(T.strip(text), T.WHITE), able), choice)
+    return T.let(T.let(picked, lambda x: F.transform(x["w"], lambda w, i: spoilt(w, i, x["c"]))), finished)
 
 
 def replace_one(text: Column, pattern: str, n: Column, make: Callable[[Column], Column]) -> Column:
     """One match of `pattern`, chosen by the number, replaced by `make` of it; the text itself if nothing matches."""
     found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    at = F.pmod(n, F.greatest(F.size(found), F.lit(1))).cast("int")
-    made = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i == F.size(found), "").when(i == at, make(F.get(found, i))).otherwise(F.coalesce(F.get(found, i), F.lit(""))))), "")
-    return F.when(F.size(found) > 0, made).otherwise(text)
+
+    def chosen(x: Column) -> Column:
+        at = F.pmod(n, F.greatest(F.size(x["f"]), F.lit(1))).cast("int")
+        return F.struct(F.arrays_zip(x["p"].alias("p"), x["f"].alias("f")).alias("z"), at.alias("at"), F.size(x["f"]).alias("k"))
+
+    def joined(x: Column) -> Column:
+        part = lambda y, i: F.concat(F.coalesce(y["p"], F.lit("")), F.when(y["f"].isNull(), "").when(i == x["at"], make(y["f"])).otherwise(y["f"]))
+        return F.when(x["k"] > 0, F.array_join(F.transform(x["z"], part), "")).otherwise(text)
+
+    return T.let(T.let(F.struct(found.alias("f"), parts.alias("p")), chosen), joined)
 
 
 def inside(match: Column, pattern: str, template: str) -> Column:
