@@ -48,17 +48,28 @@ def rules(words: DataFrame, lex: DataFrame, profile: Profile) -> DataFrame:
     parts = []
     for i, (table, source) in enumerate(((profile.exact, "rule"), (profile.phrase, "phrase_safe"))):
         found = F.split(_map({k: "\x1f".join(v) for k, v in table.items()})[norm], "\x1f")
-        parts.append(_rows(words, F.transform(found, lambda c, j, i=i, source=source: F.struct(c.alias("cand"), F.lit(source).alias("source"), _ord("rule", i, j)))))
+        parts.append(_rows(words, F.transform(found, _listed(i, source))))
     doubled = words.filter(n.between(4, 5) & (F.substring(norm, 1, 1) == F.substring(norm, 2, 1))).select("norm", F.substring(norm, 2, 9).alias("cand"))
     doubled = doubled.join(lex.select(F.col("norm").alias("cand")), "cand", "left_semi")
     parts.append(doubled.select("norm", "cand", F.lit("rule").alias("source"), F.lit(1).alias("distance"), _ord("rule", 2)))
     for k, (key, values) in enumerate(profile.substring.items()):
-        at = F.filter(_seq(n - len(key) + 1), lambda i, key=key: F.substring(norm, i, F.lit(len(key))) == key)
         for value in values:
-            parts.append(_rows(words, F.transform(at, lambda i, key=key, value=value, k=k: F.struct(_with(norm, i, len(key), F.lit(value)).alias("cand"), F.lit("orthographic").alias("source"), _ord("rule", 3 + k, i)))))
+            parts.append(_rows(words, F.transform(F.filter(_seq(n - len(key) + 1), _begins(norm, key)), _swapped(norm, key, value, k))))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _listed(i: int, source: str):
+    return lambda c, j: F.struct(c.alias("cand"), F.lit(source).alias("source"), _ord("rule", i, j))
+
+
+def _begins(norm: Column, key: str):
+    return lambda i: F.substring(norm, i, F.lit(len(key))) == key
+
+
+def _swapped(norm: Column, key: str, value: str, k: int):
+    return lambda i: F.struct(_with(norm, i, len(key), F.lit(value)).alias("cand"), F.lit("orthographic").alias("source"), _ord("rule", 3 + k, i))
+
+
 def orthographic(words: DataFrame, profile: Profile) -> DataFrame:
     """Letters often mistaken, a consonant doubled, a double consonant made single."""
     norm, n = F.col("norm"), F.length("norm")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,11 +193,24 @@ def inside(match: Column, pattern: str, template: str) -> Column:
 
 
 def _sub(pattern: str, template: str, inner: str | None = None):
-    return lambda text, n: replace_one(text, pattern, n, lambda m: inside(m, inner or f"^(?:{pattern})$", template))
+    """(pattern, operator): one match of the pattern rewritten."""
+    return pattern, lambda text, n: replace_one(text, pattern, n, lambda m: inside(m, inner or f"^(?:{pattern})$", template))
 
 
-def _same_case(pattern: str, replacement: str):
-    return lambda text, n: replace_one(text, pattern, n, lambda m: T.case_like(F.lit(replacement), m))
+def _word(pattern: str, replacement: str, keep_case: bool = True):
+    """(pattern, operator): one match replaced by a word, in the match's case."""
+    return pattern, lambda text, n: replace_one(text, pattern, n, lambda m: T.case_like(F.lit(replacement), m) if keep_case else F.lit(replacement))
+
+
+def _first(*choices):
+    """(pattern, operator): the first of several operators whose pattern is found."""
+    def op(text: Column, n: Column) -> Column:
+        chain = None
+        for pattern, one in choices:
+            chain = F.when(text.rlike(pattern), one(text, n)) if chain is None else chain.when(text.rlike(pattern), one(text, n))
+        return chain.otherwise(text)
+
+    return "|".join(f"(?:{pattern})" for pattern, _ in choices), op
 
 
 CLAUSES = "что|чтобы|если|когда|который|которая|которое|которые|потому что|так как|хотя|поскольку"
@@ -213,16 +225,16 @@ PUNCTUATION = {
     "punct_remove_internal_comma": (2, _sub(r"(?U),(?=\s+\S)", "", ",")),
     "punct_extra_comma": (6, _sub(r"(?iuU)(?<![,;:\s])\s+(?=(?:и|а|но|что|как|если|когда|или)\b)", ", ", r"(?U)\s+")),
     "punct_remove_final": (4, _sub(r"(?U)[.?!…](?=\s*$)", "", r"[.?!…]")),
-    "punct_wrong_*": (2, lambda text, n: replace_one(text, "[,.!?:;]", n, lambda m: F.translate(m, "".join(WRONG), "".join(WRONG.values())))),
+    "punct_wrong_*": (2, ("[,.!?:;]", lambda text, n: replace_one(text, "[,.!?:;]", n, lambda m: F.translate(m, "".join(WRONG), "".join(WRONG.values()))))),
     "punct_remove_comma": (2, _sub(",", "")),
     "punct_remove_intro_comma": (1, _sub(rf"(?iuU)(?<=\b(?:{INTRODUCTORY})),\s+", " ", r"(?U),\s+")),
     "punct_remove_*": (1, _sub("[,.!?:;]", "")),
 }
 ORTHOGRAPHY = {
-    "spelling_compound_joining": (1, lambda text, n: reduce(lambda t, op: F.when(t == text, op(text, n)).otherwise(t), [_same_case(r"(?iuU)\bввиду\b", "в виду"), _same_case(r"(?iuU)\bжелезнодорожный\b", "железно-дорожный"), _same_case(r"(?iuU)\bмини[-‑]футбол\b", "мини футбол")], _same_case(r"(?iuU)\bпо[-‑]новому\b", "по новому")(text, n))),
-    "spelling_capitalization": (1, lambda text, n: F.when(text.rlike(r"(?U)\bМосква\b"), replace_one(text, r"(?U)\bМосква\b", n, lambda m: F.lit("москва"))).otherwise(replace_one(text, r"(?U)\bПрезидент(?=\s+(?:Российской\s+Федерации|РФ)\b)", n, lambda m: F.lit("президент")))),
-    "spelling_abbreviation_case": (1, lambda text, n: replace_one(text, r"(?U)\bВУЗ\b", n, lambda m: F.lit("вуз"))),
-    "spelling_borrowed_word": (1, lambda text, n: F.when(text.rlike(r"(?iuU)\bпоролон\b"), _same_case(r"(?iuU)\bпоролон\b", "паралон")(text, n)).otherwise(_same_case(r"(?iuU)\bкардинально\b", "координально")(text, n))),
+    "spelling_compound_joining": (1, _first(_word(r"(?iuU)\bпо[-‑]новому\b", "по новому"), _word(r"(?iuU)\bввиду\b", "в виду"), _word(r"(?iuU)\bжелезнодорожный\b", "железно-дорожный"), _word(r"(?iuU)\bмини[-‑]футбол\b", "мини футбол"))),
+    "spelling_capitalization": (1, _first(_word(r"(?U)\bМосква\b", "москва", False), _word(r"(?U)\bПрезидент(?=\s+(?:Российской\s+Федерации|РФ)\b)", "президент", False))),
+    "spelling_abbreviation_case": (1, _word(r"(?U)\bВУЗ\b", "вуз", False)),
+    "spelling_borrowed_word": (1, _first(_word(r"(?iuU)\bпоролон\b", "паралон"), _word(r"(?iuU)\bкардинально\b", "координально"))),
 }
 STRUCTURE = {
     "punct_quote_style": (1, _sub("«([^»]{2,80})»", '"$1"')), "punct_remove_quotes": (1, _sub("«([^»]{2,80})»", "$1")), "punct_direct_speech_dash_missing": (1, _sub(r"(?U):\s+—\s+", ": ", r"(?U):\s+—\s+")),
@@ -233,18 +245,25 @@ STRUCTURE = {
 
 
 def one_operation(text: Column, operations: dict, key: Column, step: str | int, seed: int = 42) -> Column:
-    """struct<text, label>: of the operators in hashed order (heavier ones earlier), the first that changes the text; label null if none does."""
+    """struct<text, label>: of the operators in hashed order (heavier ones earlier), the first whose pattern is found; label null if it changes nothing.
+
+    Only the operator that is chosen is computed.
+    """
     tried = []
-    for label, (weight, op) in operations.items():
-        made = op(text, number(key, seed, step, label))
+    for i, (label, (weight, (pattern, _))) in enumerate(operations.items()):
         # A key of u ** (1 / weight) draws without replacement in proportion to the weights.
         rank = -F.pow(share(key, seed, step, label, "order"), F.lit(1.0 / weight))
-        named = F.lit(label)
-        if label.endswith("*"):
-            named = F.lit(label[:-2])
-        tried.append(F.when(made != text, F.struct(rank.alias("rank"), made.alias("text"), named.alias("label"))))
-    best = F.array_min(F.filter(F.array(*tried), lambda x: x.isNotNull()))
-    return F.when(best.isNull(), F.struct(text.alias("text"), F.lit(None).cast("string").alias("label"))).otherwise(F.struct(best["text"].alias("text"), best["label"].alias("label")))
+        tried.append(F.when(text.rlike(pattern), F.struct(rank.alias("rank"), F.lit(i).alias("i"))))
+    best = F.array_min(F.filter(F.array(*tried), lambda x: x.isNotNull()))["i"]
+
+    def applied(i: Column) -> Column:
+        made, names = F.when(i.isNull(), text), F.when(i.isNull(), F.lit(None).cast("string"))
+        for j, (label, (_, (_, op))) in enumerate(operations.items()):
+            made = made.when(i == j, op(text, number(key, seed, step, label)))
+            names = names.when(i == j, label[:-2] if label.endswith("*") else label)
+        return F.struct(made.alias("text"), names.alias("name"))
+
+    return T.let(T.let(best, applied), lambda x: F.struct(x["text"].alias("text"), F.when(x["text"] != text, x["name"]).alias("label")))
 
 
 def inject(rows: DataFrame, text_col: str, key_cols: list[str], profile_col: str, seed: int = 42) -> DataFrame:

@@ -240,11 +240,11 @@ def osa2_join(spark, d):
     return fuzzy.within_two(rare.filter(F.length("norm") >= P.LATIN.long_length), top)
 
 
-@query(f"WITH {LEX}, good AS (SELECT norm FROM lex WHERE freq >= 2), x AS (SELECT norm, unnest(range(3, length(norm) - 2)) AS at FROM lex WHERE freq = 1 AND len >= 6) SELECT norm, at::INT AS at, substr(norm, 1, at::INT) AS left, substr(norm, at::INT + 1) AS right FROM x WHERE substr(norm, 1, at::INT) IN (SELECT norm FROM good) AND substr(norm, at::INT + 1) IN (SELECT norm FROM good)")
+@query(f"""WITH {LEX}, good AS (SELECT norm FROM lex WHERE freq >= 2), x AS (SELECT norm, unnest(range(3, length(norm) - 2)) AS k FROM lex WHERE freq = 1 AND len >= 6) SELECT norm, k::INT AS place, substr(norm, 1, k::INT) AS "left", substr(norm, k::INT + 1) AS "right" FROM x WHERE substr(norm, 1, k::INT) IN (SELECT norm FROM good) AND substr(norm, k::INT + 1) IN (SELECT norm FROM good)""")
 def split_candidates(spark, d):
     """Words seen once that are two known words."""
     lex = lexicon_of(spark, d)
-    return fuzzy.splits(lex.filter("freq = 1").select("norm"), lex.filter("freq >= 2"), least=3)
+    return fuzzy.splits(lex.filter("freq = 1").select("norm"), lex.filter("freq >= 2"), least=3).withColumnRenamed("at", "place")
 
 
 @query()
@@ -334,8 +334,8 @@ INJ = f"{WORDS}, x AS (SELECT doc_id, pos, word, {num('doc_id', 'pos', chr(39) +
 _DEL = "CASE WHEN length(word) >= 3 THEN substr(word, 1, (h % e)::INT) || substr(word, (h % e)::INT + 2) ELSE word END"
 
 
-@query(f"""WITH {INJ}, o AS (SELECT *, {_DEL} AS del, CASE WHEN length(word) >= 3 THEN substr(word, 1, (h % e)::INT + 1) || substr(word, (h % e)::INT + 1) ELSE word END AS dbl, (h % (greatest(0, least(length(word) - 4, e - 2)) + 1))::INT AS at FROM x),
-s AS (SELECT *, CASE WHEN length(word) > 4 THEN substr(word, 1, at) || substr(word, at + 2, 1) || substr(word, at + 1, 1) || substr(word, at + 3) ELSE del END AS swp FROM o)
+@query(f"""WITH {INJ}, o AS (SELECT *, {_DEL} AS del, CASE WHEN length(word) >= 3 THEN substr(word, 1, (h % e)::INT + 1) || substr(word, (h % e)::INT + 1) ELSE word END AS dbl, (h % (greatest(0, least(length(word) - 4, e - 2)) + 1))::INT AS k FROM x),
+s AS (SELECT *, CASE WHEN length(word) > 4 THEN substr(word, 1, k) || substr(word, k + 2, 1) || substr(word, k + 1, 1) || substr(word, k + 3) ELSE del END AS swp FROM o)
 SELECT doc_id, count(*) AS n, sum(length(del))::BIGINT AS del_chars, sum((dbl <> word)::INT)::BIGINT AS doubled, md5(string_agg(del, ' ' ORDER BY pos)) AS del_text, md5(string_agg(dbl, ' ' ORDER BY pos)) AS dbl_text, md5(string_agg(swp, ' ' ORDER BY pos)) AS swp_text FROM s GROUP BY doc_id""")
 def inject_words(spark, d):
     """Deletion, doubling and swap of a character of every word."""
@@ -346,7 +346,7 @@ def inject_words(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("del")).alias("del_chars"), F.sum((F.col("dbl") != w).cast("long")).alias("doubled"), text("del").alias("del_text"), text("dbl").alias("dbl_text"), text("swp").alias("swp_text"))
 
 
-@query(f"""WITH m AS (SELECT doc_id, text, list_filter(range(1, length(text) + 1), lambda i: contains(',.!?:;', substr(text, i::INT, 1))) AS at FROM documents), p AS (SELECT *, CASE WHEN len(at) > 0 THEN at[({num('doc_id', "'punct'")} % len(at) + 1)::INT] END AS i FROM m)
+@query(f"""WITH m AS (SELECT doc_id, text, list_filter(range(1, length(text) + 1), lambda i: contains(',.!?:;', substr(text, i::INT, 1))) AS k FROM documents), p AS (SELECT *, CASE WHEN len(k) > 0 THEN k[({num('doc_id', "'punct'")} % len(k) + 1)::INT] END AS i FROM m)
 SELECT doc_id, CASE WHEN i IS NULL THEN text ELSE substr(text, 1, (i - 1)::INT) || substr(text, (i + 1)::INT) END AS text FROM p""")
 def inject_punct_remove(spark, d):
     """One mark removed from every document."""
