@@ -1,0 +1,353 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing column names."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lexweave.llm import ann, components, exact_dedup, html_extract, mixing, near_dedup, packing, quality, substring_dedup, url_filter, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, host string, size long"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, None, s, None, "x", 1) for i, t, s in rows], DOCS)
+
+
+def words(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+
+
+# 1
+
+
+def test_url_filter(spark):
+    urls = [
+        (1, "http://www.example.com/en/x?q"), (2, "https://EXAMPLE.com/en/"), (3, "http://a.b.net/fr/1#t"), (4, "http://net"), (5, None), (6, "no scheme"), (7, "http://notexample.com/en/"),
+        (8, "http://x.www.example.com/en/"), (9, "http://net/es/?x"), (9, "http://net/es/?x"), (10, "://com/"), (11, "http://example.com/fr"), (12, "http://m.example.org/"),
+    ]
+    pages = spark.createDataFrame([(i, u, "host", "p") for i, u in urls], "page_id long, url string, host string, verdict string")
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("net", "/fr/", "allow"), (None, "/", "block")]
+    found = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"))
+    assert sorted(found.columns) == ["host", "page_id", "path", "rule", "url", "verdict"]
+    got = collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in found.collect())
+    want = collections.Counter()
+    for i, u in urls:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h + p), len(h), h + p, a) for h, p, a in rules[:5] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, 0, None, "allow"))
+        want[(i, host, path, best[2], best[3])] += 1
+    assert got == want
+    assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, action string")).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(pages, spark.createDataFrame([], "host string, path string, action string")).collect()} == {"allow"}
+
+
+# 2
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(spark, weak):
+    rows = [(5, "a b", "s"), (3, "ab", "s"), (2, "a  b", "s"), (9, None, "s"), (8, "", "s"), (7, " \n", None), (1, "é", "s"), (4, "e", "s"), (4, "e", "s"), (None, "e", "s"), (6, "x" * 50_000, "s")]
+    digest = (lambda t: F.unhex(F.lit("00"))) if weak else None  # every row collides
+    found = exact_dedup.exact_groups(docs_of(spark, rows).repartition(3), digest=digest, files_per_trigger=1).collect()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows:
+        groups[norm(t)].append((-len(t or ""), i is None, i))
+    want = collections.Counter()
+    for i, t, _ in rows:
+        g = groups[norm(t)]
+        want[(i, min(g)[2], len(g))] += 1
+    assert collections.Counter((r.id, r.keep_id, r.group_size) for r in found) == want
+    assert sum(r.kept for r in found) == len(groups)
+    if not weak:
+        kept = exact_dedup.drop_exact(docs_of(spark, rows))
+        assert kept.columns == docs_of(spark, rows).columns and kept.count() == len(groups)
+        assert {bytes(r.digest) for r in found} == {hashlib.sha256(k.encode()).digest() for k in groups}
+    assert exact_dedup.exact_groups(docs_of(spark, []), digest=digest).count() == 0
+
+
+# 3
+
+
+def test_quality(spark):
+    good = [(i, " ".join(words(60, i).capitalize() + "." for _ in range(2)), "s") for i in range(60)]
+    bad = [(100 + i, " ".join(f"{w}%%%" for w in words(60, i).split()), "s") for i in range(20)] + [(200 + i, words(40, i).upper().replace(" ", "!! "), "s") for i in range(20)]
+    odd = [(300, None, "s"), (301, "", "s"), (302, "   ", None), (None, "One.", "s"), (1, good[1][1], "s")]
+    docs = docs_of(spark, good + bad + odd)
+    model = quality.fit(docs)
+    got = collections.defaultdict(list)
+    for r in quality.classified(docs, model).collect():
+        got[r.id].append((r.quality, r.score))
+    assert all(got[i][0][0] == 1 for i, _, _ in good) and all(got[i][0][0] == 0 for i, _, _ in bad)
+    assert all(got[i] == [(0, 0.0)] for i in (300, 301, 302)) and len(got[1]) == 2 and got[1][0] == got[1][1]
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(q for v in got.values() for q, _ in v)
+    empty = quality.fit(docs.limit(0))
+    assert quality.classified(docs.limit(0), empty).count() == 0
+
+
+def test_estimate_finds_bad_patterns():
+    votes = [[1] * 8, [0, 1, 1, 1, 1, 1, 0, 1], [2] * 8]
+    codes = np.array(sorted(int("".join(map(str, v)), 3) for v in votes))
+    p = quality.estimate(codes, np.array([50, 900, 50]) if codes[1] == int("1" * 8, 3) else np.array([60, 900, 40]))
+    assert p[np.searchsorted(codes, int("1" * 8, 3))] > 0.9 and p[np.searchsorted(codes, int("01111101", 3))] < 0.1
+
+
+# 4
+
+
+def test_substring_dedup(spark):
+    passage = "The first part of a passage is here. " + " ".join(words(6, k).capitalize() + "." for k in range(9))
+    assert len(passage.split()) > 50
+    a, b, c = words(30, 101), words(30, 102), words(30, 103)
+    rows = [(1, f"{a} {passage} {b}", "s"), (2, f"{c} {passage} {a.capitalize()}.", "s"), (3, None, "s"), (4, "", "s"), (None, f"héé {passage}\nx", "s"), (5, "Les. Les. Les.", "s"), (6, "Les.", "s"), (1, f"{a} {passage} {b}", "s")]
+    got = collections.defaultdict(list)
+    for r in substring_dedup.drop_repeats(docs_of(spark, rows)).collect():
+        got[r.id].append(r)
+    assert [r.text for r in got[1]] == [rows[0][1]] * 2 and got[5][0].text == rows[5][1] and got[3][0].text == "" and got[4][0].n_removed == 0
+    for i, text in ((2, rows[1][1]), (None, rows[4][1])):
+        r = got[i][0]
+        assert r.n_removed == 1 and passage.split(". ")[3] not in r.text
+        span = r.removed[0]
+        assert text[span.start : span.end].strip().startswith("The first part") and r.text == text[: span.start] + text[span.end :] and span.keep_id == 1
+    assert substring_dedup.drop_repeats(docs_of(spark, [])).count() == 0
+
+
+# 5
+
+
+def test_hilbert_is_a_curve():
+    side = np.arange(8)
+    grid = np.array(np.meshgrid(side, side, side)).reshape(3, -1).T
+    place = ann.hilbert(grid, 3)
+    assert sorted(place) == list(range(512))
+    assert (np.abs(np.diff(grid[np.argsort(place)], axis=0)).sum(1) == 1).all()
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((300, 8)).astype(np.float32)
+    v[50:90] = v[50]  # one common vector
+    rows = [(i, [float(x) for x in v[i]]) for i in range(300)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0, None] + [1.0] * 6), (304, [1.0] * 3), (305, [float("inf")] + [0.0] * 7), (7, [float(x) for x in v[7]])]
+    vectors = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<float>, score double")
+    got = collections.defaultdict(list)
+    for r in ann.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 300, 20))
+    x, hits = v.astype(np.float64), 0
+    for i, found in got.items():
+        s = x @ x[i]
+        s[i] = -np.inf
+        want = np.lexsort((np.arange(300), -s))[:20]
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 21)) and all(abs(s[k] - sc) < 1e-12 for _, k, sc in found)
+        assert all((-a[2], a[1]) < (-b[2], b[1]) for a, b in zip(found, found[1:]))
+        hits += len({k for _, k, _ in found} & set(want.tolist()))
+    assert hits >= 0.9 * 20 * len(got)
+    assert ann.nearest_neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+# 6
+
+PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li><li>Two</li></ul></nav>%s<footer>f</footer>'
+
+
+def test_html_blocks():
+    body = '<article><h1>Head &amp; more</h1><p>One<b> two</b><br>three<p>A&nbsp;&#233; b<ul><li>x<li>y</ul><form>no</form><div class="reader-comments"><p>no</p></div><div class="ad">no</div><!-- no --></article>'
+    assert html_extract.main_text(PAGE % body) == "Head & more\n\nOne two three\n\nA é b\n\nx\n\ny"
+    assert html_extract.main_text("") == "" and html_extract.main_text("<p>a<p>b") == "a\n\nb" and html_extract.main_text("<div") == "<div"
+
+
+def test_wrapper_finds_template_text(spark):
+    pages = [(i, f"http://h.example/{i}", PAGE % f"<div><span>Welcome to the site</span></div><div><h2>{words(3, i)}</h2>{''.join(f'<p>{words(30, i * 9 + k)}</p>' for k in range(2 + i % 3))}</div><div>Call us now</div>") for i in range(6)]
+    odd = [(10, None, None), (11, "x", ""), (0, *pages[0][1:])]
+    frame = spark.createDataFrame([(*p, "t") for p in pages + odd], "page_id long, url string, html string, text string")
+    got = collections.defaultdict(list)
+    for r in html_extract.extract(frame).collect():
+        got[r.id].append(r)
+    for i, _, page in pages:
+        paragraphs = re.findall(r"<(?:p|h2)>(.*?)</", page)
+        assert got[i][0].text == "\n\n".join(paragraphs) and got[i][0].n_chars == len(got[i][0].text)
+    assert got[10][0].text == "" and got[11][0].n_chars == 0 and len(got[0]) == 2
+    assert html_extract.extract(frame.limit(0)).count() == 0
+
+
+def test_wrapper_has_optional_and_repeated_groups():
+    a, b = (html_extract.skeleton(html_extract.parsed(f"<div><h2>x</h2>{p}</div>")) for p in ("<p>1</p><p>2</p>", "<p>3</p><hr>"))
+    div = html_extract.merged(a, b)[3][0]
+    kinds = {n[0]: n for n in div[3]}
+    assert kinds["p"][1] and kinds["p"][3][0][1] is None and kinds["hr"][2] and kinds["h2"][3][0][1] == "x"
+
+
+# 7
+
+
+def test_targets_share_excess():
+    t = mixing.targets([("b", 10), (None, 100), ("a", 100)], (3, 1, 2), mixing.Fraction(3, 2), 2)
+    assert t["b"] == 20.0 and abs(sum(t.values()) - 315) < 1e-9 and abs(t["a"] - 295 * 3 / 5) < 1e-9
+
+
+def test_closest_is_exact():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        lengths, counts = sorted({int(x) for x in rng.integers(0, 12, 4)}), None
+        counts = [int(x) for x in rng.integers(0, 4, len(lengths))]
+        budget = int(rng.integers(0, 40))
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        taken = mixing.closest(budget, lengths, counts)
+        assert all(0 <= t <= c for t, c in zip(taken, counts))
+        total = sum(t * n for t, n in zip(taken, lengths))
+        assert abs(total - budget) == min(abs(s - budget) for s in sums), (budget, lengths, counts, taken)
+
+
+def test_mix(spark):
+    rows = [(i, words(1 + i % 7, i), f"s{i % 4}") for i in range(200)] + [(300, None, "s0"), (301, " ", None), (302, words(5), None), (5, words(3), "s1"), (None, words(2), "s2")]
+    docs = docs_of(spark, rows)
+    first = sorted(mixing.mix(docs).collect(), key=str)
+    assert first == sorted(mixing.mix(docs.repartition(3)).collect(), key=str) and len(first) == len(rows)
+    by = collections.defaultdict(list)
+    for r in first:
+        by[r.source].append(r)
+        assert r.taken <= 2 * r["size"]
+    for source, rs in by.items():
+        assert sum(r["size"] for r in rs) == rs[0].source_size and abs(sum(r.taken for r in rs) - rs[0].target) <= 1
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs).columns == docs.columns
+
+
+# 8
+
+
+def test_packing(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    raw = packing._Chunks(path)
+    odd = ["don't it's", "a<|endoftext|>b", "naïve Ærø ÀÉ", "x_y 1.5km", "“q” ﬁ İstanbul ΑΣ é", "日本語 a\x1cb", "Straße, '''t", ""]
+    for t in odd:
+        assert raw.ids(t) == raw.raw(t)
+    rows = [(i, t, "s") for i, t in enumerate(odd)] + [(50 + i, words(20 * i, i), "s") for i in range(30)] + [(99, words(3000), "s"), (100, None, None), (None, "x", "s"), (50, "again", "s")]
+    pieces = packing.token_pieces(docs_of(spark, rows), path)
+    got = packing.pack(pieces, shard_rows=16).collect()
+    assert len(got) == pieces.count()
+    ids = {k: np.frombuffer(raw.raw(t or ""), "<u4").tolist() + [0] for k, t, _ in rows if k == 99}
+    part = [r for r in got if r.id == 99]
+    assert sorted(r.piece for r in part) == list(range(-(-len(ids[99]) // 2048)))
+    for r in part:
+        assert r.ids_crc32 == zlib.crc32(np.asarray(ids[99][r.start : r.start + r.length], "<u4").tobytes())
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and sum(n for _, n in b) <= 2048
+    assert packing.pack(packing.token_pieces(docs_of(spark, []), path)).count() == 0
+
+
+def test_evolve_beats_no_bound():
+    rng = np.random.default_rng(1)
+    size = [int(x) for x in rng.integers(200, 1500, 300)]
+    start = packing.refit([], list(range(300)), size, 2048)
+    best = packing.evolve(size, 2048, [], 1, 4, 10)
+    assert len(best) <= len(start) and sorted(i for b in best for i in b) == list(range(300)) and all(sum(size[i] for i in b) <= 2048 for b in best)
+
+
+# 9
+
+
+def test_near_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows, base = [], [words(80, k) for k in range(12)]
+    for k, text in enumerate(base):
+        for c in range(4):
+            w = text.split()
+            for j in rng.choice(80, c, replace=False):
+                w[j] = "zz" + str(rng.integers(1000))
+            rows.append((10 * k + c, " ".join(w), "s"))
+    rows += [(500, None, "s"), (501, "", "s"), (502, "Hello there", "s"), (503, "hello  THERE!", "s"), (0, base[0], "s"), (None, base[1], "s"), (504, words(4000, 77), "s")]
+    got = {r.id: r for r in near_dedup.near_classes(docs_of(spark, rows)).collect()}
+    kept = {i: t or "" for i, t, _ in rows if i is not None}
+    weights = near_dedup.Weights(np.zeros(0, np.uint64), np.zeros(0), 1, near_dedup.FLOOR)
+    grams = {i: _grams(t) for i, t in kept.items()}
+    df = collections.Counter(g for c in grams.values() for g in c)
+    n = len([i for i, _, _ in rows if i is not None])
+    df.update(grams[0].keys())  # the repeated row counts
+    idf = {g: np.log1p(1 / max(v / n, near_dedup.FLOOR)) for g, v in df.items()}
+    parent = {i: i for i in kept}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in kept:
+        for b in kept:
+            if a < b:
+                low = sum(min(grams[a][g], grams[b][g]) * idf[g] for g in grams[a].keys() & grams[b].keys())
+                high = sum(max(grams[a][g], grams[b][g]) * idf[g] for g in grams[a].keys() | grams[b].keys())
+                if high and low / high >= 0.8:
+                    x, y = root(a), root(b)
+                    parent[max(x, y)] = min(x, y)
+    assert {i: r.class_id for i, r in got.items()} == {i: root(i) for i in kept} and weights.rare > 4
+    kept_rows = near_dedup.drop_near(docs_of(spark, rows))
+    assert kept_rows.columns == docs_of(spark, rows).columns
+    assert near_dedup.near_classes(docs_of(spark, [])).count() == 0
+
+
+def _grams(text):
+    w = re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", text.lower())
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1 if w else 0, len(w) - 4)))
+
+
+def test_common_passage_is_not_similarity(spark):
+    passage = words(40, 900)
+    rows = [(i, f"{words(40, i)} {passage}", "s") for i in range(60)]
+    assert all(r.class_size == 1 for r in near_dedup.near_classes(docs_of(spark, rows)).collect())
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (20, 20), (None, 3)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7, 20: 20}
+
+
+# 10
+
+
+@pytest.mark.parametrize("least", [0, 3])
+def test_warc_round_trip(spark, tmp_path, least):
+    pages = [(1, "http://a/", "same"), (5, "http://b/\r\nX: y", "same"), (3, None, "é" * 3000), (4, "u", None), (6, "u", ""), (7, "u", "x"), (8, "v", "x"), (8, "v", "x"), (None, "n", "same"), (9, "w", "\u0000 bin")]
+    frame = spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, kind string").repartition(3)
+    index = warc.write_archives(frame, f"file://{tmp_path}", least=least)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(index, f"file://{tmp_path}").collect())
+    groups = collections.defaultdict(list)
+    for i, _, h in pages:
+        groups[(h or "").encode()].append(i)
+    want = collections.Counter()
+    for body, ids in groups.items():
+        ids = sorted(ids, key=lambda i: -1 if i is None else i)
+        for k, i in enumerate(ids):
+            first = k == len(ids) - 1 or len(body) < least
+            want[(i, len(body), warc.base32_sha1(body), "response" if first else "revisit", None if first else ids[-1])] += 1
+    assert got == want
+    some = warc.read_records(index.filter("page_id = 3"), f"file://{tmp_path}").collect()
+    assert len(some) == 1 and bytes(some[0].payload).decode() == "é" * 3000
+    assert warc.read_records(warc.write_archives(frame.limit(0), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").count() == 0
+
+
+def test_hashing_splits_long_batches():
+    from lexweave.llm import hashing
+
+    texts = pa.array(["a b c d e f", None, "", "x", "ÀB-c! d"])
+    whole = [hashing.shingle_counts(p) for _, p in hashing.pieces(texts)][0]
+    parts = [(at, hashing.shingle_counts(p)) for at, p in hashing.pieces(texts, 1)]
+    assert [len(whole[0]), sum(len(p[0]) for _, p in parts)] == [4, 4]
+    assert sorted(zip(whole[0].tolist(), whole[1].tolist())) == sorted((r + at, h) for at, p in parts for r, h in zip(p[0].tolist(), p[1].tolist()))
