@@ -38,7 +38,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.text(path, wholetext=True).select(F.col("value"))
     stripped = F.ltrim(F.regexp_replace("value", r"^[\s﻿]+", ""))
-    as_list = F.from_json("value", "array<map<string,string>>", {"mode": "PERMISSIVE"})
+    as_list = F.transform(F.from_json("value", "array<string>", {"mode": "PERMISSIVE"}), lambda x: F.from_json(x, "map<string,string>", {"mode": "PERMISSIVE"}))
     as_one = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
     by_line = F.transform(F.filter(F.split("value", T.LINE), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, "map<string,string>", {"mode": "PERMISSIVE"}))
     single = ~F.trim("value").rlike(r"\}\s*[\r\n]+\s*\{")
