@@ -115,11 +115,10 @@ def test_splits(spark):
 
 def test_injection(spark):
     base = ["Он сказал, что Москва — столица. Мини-футбол стал популярным!", "Если дождь, то «мы» останемся (дома): хлеб; соль...", "кот", ""]
-    rows = texts(spark, base * 5)
-    for profile in inject.PROFILES:
-        out = inject.inject(rows.withColumn("p", F.lit(profile)), "text", ["doc_id"], "p").collect()
-        assert sorted(map(str, out)) == sorted(map(str, inject.inject(rows.repartition(2).withColumn("p", F.lit(profile)), "text", ["doc_id"], "p").collect()))
-        assert all(r.error_text != r.text and r.error_labels for r in out if r.text not in ("", "кот")) and all(r.error_text == "" for r in out if r.text == "")
+    rows = texts(spark, base * 2).withColumn("p", F.explode(F.array(*(F.lit(p) for p in inject.PROFILES))))
+    out = inject.inject(rows, "text", ["doc_id", "p"], "p").collect()
+    assert {r.p for r in out} == set(inject.PROFILES) and len(out) == 8 * len(inject.PROFILES)
+    assert all(r.error_text != r.text and r.error_labels for r in out if len(r.text) > 3) and all(r.error_text == "" for r in out if r.text == "")
     assert inject.curated(spark).count() == 22
     made = spark.range(64).select(inject.word_error(F.lit("Говорится"), F.element_at(F.array(*(F.lit(k) for k in inject.WORD_OPS)), (F.col("id") % 5 + 1).cast("int")), inject.number(F.col("id").cast("string"))).alias("x")).collect()
     assert {r.x.label.split("_")[1] for r in made} >= {"delete", "swap", "double", "extra"} and all(r.x.word[:1].isupper() for r in made)
