@@ -6,13 +6,13 @@
   quarter of FLOOR of all, so at most (mean shingles a document) / (0.75 FLOOR) candidates are left at any size, and these are counted exactly.
 * Signatures.  Texts with the same words are collapsed to one representative.  Improved consistent weighted
   sampling (Ioffe, 2010) draws BANDS x ROWS samples (shingle, quantised log weight); equal bands share a bucket.
-* Links.  In rounds, each bucket's first unsettled member leads and all members not yet compared with it are verified by
+* Links.  In rounds, each bucket's best connected unsettled member leads and all members not yet compared with it are verified by
   weighted Jaccard similarity; members that match no leader stay unsettled.  After the rounds, documents whose
   buckets still hold different components are joined on the least crowded shingles that leave less than the threshold of their
   weight (prefix filtering, which is exact), across components only: no link is lost and no bucket's pairs are expanded.
 * Classes are connected components of the links.
 
-Only (band, id) rows and pairs are grouped.  A bucket's leader comes from a map-side minimum, and joins on a
+Only (band, id) rows and pairs are grouped.  A bucket's leader comes from a map-side maximum, and joins on a
 bucket's key are plain equi-joins that adaptive execution splits.
 """
 
@@ -313,10 +313,12 @@ def _prefixes(docs: DataFrame, held, threshold: float, words: int) -> DataFrame:
 def _linked(entries: DataFrame, texts: DataFrame, held, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
     """Links (a < b), and every pair compared."""
     far = 1 - threshold + 1e-12
-    open_ = entries.select("bucket", "id")
+    # The best connected member leads: an original shares more buckets with its copies than they share with each other.
+    crowd = entries.groupBy("id").agg(F.sum("n").alias("crowd"))
+    open_ = staged(entries.join(crowd, "id").select("bucket", "id", "crowd"), "near-open")
     compared = None
     for _ in range(LEADER_ROUNDS):
-        lead = open_.groupBy("bucket").agg(F.min("id").alias("lead"))
+        lead = open_.groupBy("bucket").agg(F.max(F.struct("crowd", (-F.col("id")).alias("neg"))).alias("x")).select("bucket", (-F.col("x.neg")).alias("lead"))
         led = entries.filter("n > 2") if compared is not None else entries
         met = led.select("bucket", "id").join(lead, "bucket").filter("id <> lead").select("bucket", F.col("id"), "lead")
         pairs = met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
