@@ -6,14 +6,16 @@ optional, neighbours that repeat become a repeated group, and text runs that dif
 associative enough to be done in parts: each task folds its own pages of a host, and partial wrappers are folded in two levels,
 so a host with a third of all pages is nowhere folded by one task.
 
-Extraction takes a page's article where the markup names one; otherwise the wrapper finds it: text that
-never varies on the host is template, and the content is the innermost element that holds most of the slots' text.
+Texts are counted exactly at the wrapper's places (element paths): one that most of a host's distinct pages hold, and at least two, is
+template.  The content of every page of a host is the innermost element of its wrapper that holds most of the other text; an article, main
+or content element only ends the descent, and breaks a tie where no element holds most.  A page without that element is taken by itself.
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by element, role and class.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import json
 import re
@@ -40,6 +42,8 @@ WORDS_OUT = set("""ad ads advert adverts advertisement advertising banner breadc
     gdpr masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion promoted recommend
     recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags taboola toolbar widget widgets""".split())
 WORDS_IN = set("article articlebody content entry main post story".split())
+#: Elements of text, which are never the content by themselves.
+BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure".split())
 #: An element of these closes an open paragraph.
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An open element of the first kind ends where one of the second begins.
@@ -54,9 +58,6 @@ class Node:
     def __init__(self, name: str, sig: str, out: bool, inside: bool) -> None:
         self.name, self.sig, self.out, self.inside, self.children = name, sig, out, inside, []
 
-    def length(self) -> int:
-        return sum(len(c) if isinstance(c, str) else 0 if c.out else c.length() for c in self.children)
-
 
 def started(name: str, attributes: str) -> Node:
     words, role, sig = set(), "", name
@@ -66,6 +67,7 @@ def started(name: str, attributes: str) -> Node:
         words = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", label).lower()) if w}
         role = found.get("role", "").lower()
         sig = f"{name}.{'.'.join(sorted(words))}" if words else name
+        sig += f"@{role}" if role in ("main", "article") else ""
         if "hidden" in found:
             return Node(name, sig, True, False)
     inside = name in ("article", "main") or role in ("main", "article") or bool(words & WORDS_IN)
@@ -189,77 +191,114 @@ def aligned(a: list, b: list) -> list:
     return squashed(out)
 
 
-def template(wrapper: list) -> tuple[set[tuple[str, str]], bool]:
-    """(path, text) of the text that never varies, and whether anything varies at all."""
-    fixed, slots = set(), []
+def place(path: str) -> int:
+    return int.from_bytes(hashlib.blake2b(path.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def runs(node: Node, path: str = "") -> Iterator[tuple[str, str]]:
+    """(path, text) of the text in `node`, in page order, without elements that are left out."""
+    for c in node.children:
+        if isinstance(c, str):
+            yield path, c
+        elif not c.out:
+            yield from runs(c, f"{path}/{c.sig}")
+
+
+def named(path: str) -> int:
+    """3 for the path of an article, 2 for main, 1 for a content class, 0 for others."""
+    sig, _, role = path.rpartition("/")[2].partition("@")
+    name, *words = sig.split(".")
+    return 3 if "article" in (name, role) else 2 if "main" in (name, role) else int(not WORDS_IN.isdisjoint(words))
+
+
+def region(wrapper: list, weights: dict[int, int]) -> set[str]:
+    """The paths of the content in a wrapper, by the text that is not template at each place."""
+    inner: dict[str, dict[str, None]] = {"": {}}
+
+    def grow(nodes: list, path: str) -> None:
+        for c in nodes:
+            if c[0] == "*":
+                grow(c[3], path)
+            elif c[0] != "#":
+                own = f"{path}/{c[0]}"
+                inner[path][own] = None
+                inner.setdefault(own, {})
+                grow(c[3], own)
+
+    grow(wrapper[3], "")
+    weight = {}
+    for path in reversed(inner):  # a path is always entered after the one around it
+        weight[path] = weights.get(place(path), 0) + sum(weight[c] for c in inner[path])
+    total, at = weight[""], ""
+    while total and named(at) < 3:
+        most = [c for c in inner[at] if weight[c] >= 0.7 * total and c.rpartition("/")[2].partition(".")[0] not in BLOCKS]
+        if not most or (named(at) and not named(most[0])):
+            break
+        at = most[0]
+    if named(at):
+        return {at}
+    within = [p for p in inner if p.startswith(f"{at}/") and named(p) and weight[p]]
+    best = max(map(named, within), default=0)
+    return {p for p in within if named(p) == best} or {at}
+
+
+def elements(node: Node, paths: set[str], path: str = "") -> Iterator[tuple[Node, str]]:
+    """The outermost elements at `paths`, in page order."""
+    if path in paths:
+        yield node, path
+        return
+    for c in node.children:
+        if not isinstance(c, str) and not c.out:
+            yield from elements(c, paths, f"{path}/{c.sig}")
+
+
+def main_text(page: str, paths: set[str] = frozenset(), fixed: set[tuple[int, int]] = frozenset()) -> str:
+    """Blocks of the main text, in page order, joined by an empty line.
+
+    `paths`: the host's content; `fixed`: (place, text digest) of its template text.  A page that has no text at `paths` is a host by itself.
+    """
+    root = parsed(page)
+    found = [(path, text) for node, at in elements(root, paths) for path, text in runs(node, at)]
+    if not found:
+        weights: dict[int, int] = {}
+        for path, text in runs(root):
+            if (place(path), place(text)) not in fixed:
+                weights[place(path)] = weights.get(place(path), 0) + len(text)
+        found = [(path, text) for node, at in elements(root, region(skeleton(root), weights)) for path, text in runs(node, at)]
+    return "\n\n".join(text for path, text in found if (place(path), place(text)) not in fixed)
+
 
-    def walk(node: list, path: str) -> None:
-        for c in node[3]:
-            if c[0] == "#":
-                slots.append(path) if c[1] is None else fixed.add((path, c[1]))
-            else:
-                walk(c, path if c[0] == "*" else f"{path}/{c[0]}")
-
-    walk(wrapper, "")
-    return fixed, bool(slots)
-
-
-def content(root: Node, fixed: set[tuple[str, str]]) -> tuple[Node, set[int]]:
-    """The element that holds the main text, and the ids of text-bearing children of template text in it."""
-    named: list[Node] = []
-
-    def find(node: Node) -> None:
-        for c in node.children:
-            if not isinstance(c, str) and not c.out:
-                if c.inside:
-                    named.append(c)
-                find(c)
-
-    find(root)
-    for kind in (lambda n: n.name == "article", lambda n: n.name == "main", lambda n: True):
-        these = [n for n in named if kind(n) and n.length()]
-        if these:
-            return max(these, key=Node.length), set()
-
-    weight: dict[int, int] = {}
-    drop: set[int] = set()
-
-    def weigh(node: Node, path: str) -> int:
-        total = 0
-        for i, c in enumerate(node.children):
-            if isinstance(c, str):
-                if (path, c) in fixed:
-                    drop.add((id(node), i))
-                else:
-                    total += len(c)
-            elif not c.out:
-                total += weigh(c, f"{path}/{c.sig}")
-        weight[id(node)] = total
-        return total
-
-    total, at = weigh(root, ""), root
-    while True:
-        inner = [c for c in at.children if not isinstance(c, str) and not c.out and weight[id(c)] >= 0.7 * total and c.name != "p"]
-        if not inner or not total:
-            return at, drop
-        at = inner[0]
-
-
-def main_text(page: str, fixed: set[tuple[str, str]] = frozenset()) -> str:
-    """Blocks of the main text, in page order, joined by an empty line."""
-    root, drop = content(parsed(page), fixed)
-    blocks: list[str] = []
-
-    def walk(node: Node) -> None:
-        for i, c in enumerate(node.children):
-            if isinstance(c, str):
-                if (id(node), i) not in drop:
-                    blocks.append(c)
-            elif not c.out:
-                walk(c)
-
-    walk(root)
-    return "\n\n".join(blocks)
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(host, place, digest, pages, chars): on how many distinct pages of its host a text stands at a place.  Place 0 counts the pages."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                page = page.as_py() or ""
+                found = {(place(path), place(text)): len(text) for path, text in runs(parsed(page))} | {(0, 0): 0}
+                key = place(page)
+                for (at, digest), chars in found.items():
+                    for column, value in zip(rows, (host, at, digest, key, chars)):
+                        column.append(value)
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["host", "place", "digest", "page", "chars"])
+
+    made = pages.select("host", "html").mapInArrow(local, "host string, place long, digest long, page long, chars long")
+    made = made.groupBy("host", "place", "digest", "page").agg(F.min("chars").alias("chars"))
+    return made.groupBy("host", "place", "digest").agg(F.count("*").alias("pages"), F.min("chars").alias("chars"))
+
+
+def evidence(pages: DataFrame) -> DataFrame:
+    """(host, weights, fixed): for each host the characters of other text at each place, and its template text (place, digest)."""
+    texts = staged(page_texts(pages), "html-texts")
+    held = texts.filter("place = 0").select("host", F.col("pages").alias("of"))
+    fixed = texts.filter("place <> 0 and pages >= 2").join(held, "host").filter("2 * pages > of").select("host", "place", "digest", "pages", "chars")
+    weights = texts.filter("place <> 0").select("host", "place", (F.col("pages") * F.col("chars")).alias("chars"))
+    weights = weights.unionByName(fixed.select("host", "place", (-F.col("pages") * F.col("chars")).alias("chars")))
+    weights = weights.groupBy("host", "place").agg(F.sum("chars").alias("chars")).filter("chars > 0").groupBy("host").agg(F.collect_list(F.struct("place", "chars")).alias("weights"))
+    fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("place", "digest")).alias("fixed"))
+    return held.select("host").join(weights, "host", "left").join(fixed, "host", "left")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -293,6 +332,21 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return made.groupBy("host").applyInPandas(folded, "host string, wrapper binary")
 
 
+def plans(pages: DataFrame) -> DataFrame:
+    """(host, plan): the paths of the content and the template text of each host, compressed."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for wrapper, weights, fixed in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                paths = region(json.loads(zlib.decompress(wrapper)), {w["place"]: w["chars"] for w in weights or ()})
+                made.append(zlib.compress(json.dumps([sorted(paths), sorted((f["place"], f["digest"]) for f in fixed or ())]).encode()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["host", "plan"])
+
+    joined = wrappers(pages).join(evidence(pages), "host").select("host", "wrapper", "weights", "fixed")
+    return joined.mapInArrow(decide, "host string, plan binary")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars): one row for each row of `pages`.
 
@@ -300,26 +354,26 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows are all extracted; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    held = staged(wrappers(rows), "html-wrappers")
+    held = staged(plans(rows), "html-plans")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zlib.compress((x.as_py() or "").encode(), 3) for x in batch.column(3)], pa.binary())], ["id", "url", "host", "page"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, set[tuple[str, str]]] = {}
+        known: dict[bytes, tuple[set[str], set[tuple[int, int]]]] = {}
         for batch in batches:
             texts = []
-            for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist()):
-                if wrapper not in known:
+            for page, plan in zip(batch.column(2), batch.column(3).to_pylist()):
+                if plan not in known:
                     if len(known) > 256:
                         known.clear()
-                    fixed, varies = template(json.loads(zlib.decompress(wrapper)))
-                    known[wrapper] = fixed if varies else frozenset()
-                texts.append(main_text(zlib.decompress(page.as_py()).decode(), known[wrapper]))
+                    paths, fixed = json.loads(zlib.decompress(plan))
+                    known[plan] = set(paths), {tuple(f) for f in fixed}
+                texts.append(main_text(zlib.decompress(page.as_py()).decode(), *known[plan]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    # Pages travel compressed to the join with their host's wrapper, which adaptive execution splits for a hot host.
+    # Pages travel compressed to the join with their host's plan, which adaptive execution splits for a hot host.
     packed = rows.mapInArrow(pack, f"id {id_type}, url string, host string, page binary")
-    return packed.join(held, "host").select("id", "url", "page", "wrapper").mapInArrow(run, f"id {id_type}, url string, text string, n_chars long")
+    return packed.join(held, "host").select("id", "url", "page", "plan").mapInArrow(run, f"id {id_type}, url string, text string, n_chars long")

@@ -180,6 +180,22 @@ def test_wrapper_finds_template_text(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_wrapper_decides_before_tags(spark):
+    def page(i):
+        teaser = f"<article><p>{words(4, 700 + i)}</p></article>"
+        return PAGE % f"{teaser}<div><h2>{words(3, i)}</h2>{''.join(f'<p>{words(30, i * 9 + k)}</p>' for k in range(3))}<p>Sign up for our letter</p></div>"
+
+    def named(i):
+        return PAGE % f"<article><h1>{words(3, i)}</h1><p>{words(40, 90 + i)}</p><p>All rights are ours</p><p>{words(20, 190 + i)}</p></article>"
+
+    pages = [(i, f"http://h.example/{i}", page(i)) for i in range(6)] + [(20 + i, f"http://n.example/{i}", named(i)) for i in range(6)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.id: r.text for r in html_extract.extract(frame).collect()}
+    for i in range(6):
+        assert got[i] == "\n\n".join([words(3, i), *(words(30, i * 9 + k) for k in range(3))])
+        assert got[20 + i] == "\n\n".join([words(3, i), words(40, 90 + i), words(20, 190 + i)])
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     a, b = (html_extract.skeleton(html_extract.parsed(f"<div><h2>x</h2>{p}</div>")) for p in ("<p>1</p><p>2</p>", "<p>3</p><hr>"))
     div = html_extract.merged(a, b)[3][0]
