@@ -256,6 +256,7 @@ def main_text(page: str, paths: set[str] = frozenset(), fixed: set[tuple[int, in
     """Blocks of the main text, in page order, joined by an empty line.
 
     `paths`: the host's content; `fixed`: (place, text digest) of its template text.  A page that has no text at `paths` is a host by itself.
+    One whose content would be template for the most part is a near copy of other pages and keeps all of it.
     """
     root = parsed(page)
     found = [(path, text) for node, at in elements(root, paths) for path, text in runs(node, at)]
@@ -265,7 +266,10 @@ def main_text(page: str, paths: set[str] = frozenset(), fixed: set[tuple[int, in
             if (place(path), place(text)) not in fixed:
                 weights[place(path)] = weights.get(place(path), 0) + len(text)
         found = [(path, text) for node, at in elements(root, region(skeleton(root), weights)) for path, text in runs(node, at)]
-    return "\n\n".join(text for path, text in found if (place(path), place(text)) not in fixed)
+    kept = [text for path, text in found if (place(path), place(text)) not in fixed]
+    if 2 * sum(map(len, kept)) < sum(len(text) for _, text in found):
+        kept = [text for _, text in found]
+    return "\n\n".join(kept)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -196,6 +196,22 @@ def test_wrapper_decides_before_tags(spark):
         assert got[20 + i] == "\n\n".join([words(3, i), words(40, 90 + i), words(20, 190 + i)])
 
 
+def test_template_needs_pages_that_hold_it(spark):
+    body = lambda i: "".join(f"<p>{words(30, i * 9 + k)}</p>" for k in range(3))
+    plain = lambda i: "\n\n".join(words(30, i * 9 + k) for k in range(3))
+    pages = [(i, f"http://h.example/{i}", PAGE % f"<div><h3>{words(3, i)}</h3>{'<blockquote>only here</blockquote><h2>Once</h2>' if i == 2 else ''}{body(i)}</div>") for i in range(6)]
+    alone = PAGE % f"<div><h2>Lone head</h2>{body(50)}<blockquote>quoted</blockquote></div>"
+    pages += [(20, "http://one.example/", alone), (30, "http://copies.example/a", alone), (31, "http://copies.example/b", alone)]
+    pages += [(40, "http://near.example/a", alone), (41, "http://near.example/b", alone.replace("quoted", "cited"))]
+    pages += [(50 + i, f"http://two.example/{i}", PAGE % f"<article><p>{words(30, 300 + i)}</p></article><div>x</div><article><p>{words(9, 400 + i)}</p></article>") for i in range(3)]
+    got = {r.id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"{words(3, i)}\n\n" + ("only here\n\nOnce\n\n" if i == 2 else "") + plain(i)
+    whole = f"Lone head\n\n{plain(50)}\n\nquoted"
+    assert [got[i] for i in (20, 30, 31, 40, 41)] == [whole] * 4 + [whole.replace("quoted", "cited")]
+    assert all(got[50 + i] == f"{words(30, 300 + i)}\n\n{words(9, 400 + i)}" for i in range(3))
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     a, b = (html_extract.skeleton(html_extract.parsed(f"<div><h2>x</h2>{p}</div>")) for p in ("<p>1</p><p>2</p>", "<p>3</p><hr>"))
     div = html_extract.merged(a, b)[3][0]
