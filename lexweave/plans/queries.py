@@ -251,7 +251,7 @@ def split_candidates(spark, d):
 def candidate_topk(spark, d):
     """Ranked candidates of every word seen once."""
     rare, good = probe_words(spark, d)
-    return candidates.candidates(rare.withColumnRenamed("norm", "word"), good, P.LATIN, long_oov=False)
+    return candidates.candidates(rare.withColumnRenamed("norm", "word"), good, P.LATIN, split=True)
 
 
 @query()
