@@ -182,6 +182,18 @@ def vocab_ids(spark, d):
     return lexicon.vocabulary(lexicon_of(spark, d), 2001)
 
 
+@query(SQL["length_buckets"].replace("bucket_rank <= 50", "bucket_rank <= 5000"))
+def length_buckets_whole(spark, d):
+    """The most frequent words of each length, in buckets of the operator's size."""
+    return lexicon.ranked_by_length(lexicon_of(spark, d)).select("norm", "freq", "len", "bucket_rank")
+
+
+@query(SQL["vocab_ids"].replace("word_id <= 2000", "word_id <= 79999"))
+def vocab_ids_whole(spark, d):
+    """The vocabulary at the operator's size."""
+    return lexicon.vocabulary(lexicon_of(spark, d))
+
+
 @query(f"WITH {WORDS}, b AS (SELECT DISTINCT {NORM.format('w')} AS norm FROM (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS w FROM benchmark)) SELECT doc_id, count(*) AS n, count(DISTINCT {NORM.format('word')}) AS n_distinct FROM words WHERE {NORM.format('word')} NOT IN (SELECT norm FROM b) GROUP BY doc_id")
 def oov_tokens(spark, d):
     """Words of documents that the trusted lexicon does not have."""
@@ -357,7 +369,7 @@ def inject_punct_remove(spark, d):
 def curriculum(spark, d):
     """Correction pairs of sentences by weighted error profiles."""
     s = sentence_rows(spark, d).filter(F.length("sentence").between(10, 240)).select(F.concat_ws("-", "doc_id", "pos").alias("key"), F.col("sentence").alias("text"))
-    return inject.curriculum(s, key_col="key", samples=1)
+    return inject.curriculum(s, key_col="key")
 
 
 @query(f"WITH {ROWS} SELECT doc_id, pos, round(input_cer, 9) AS input_cer, round(pred_cer, 9) AS pred_cer, exact_match, improved, worse, unchanged, clean_overcorrection FROM a")
@@ -543,15 +555,25 @@ def punctuation_decisions(spark, d):
     return rows.groupBy("lang", reason.alias("reason"), G.punctuation_applies(reason).alias("applied")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {LEX}, v AS (SELECT norm, row_number() OVER (ORDER BY freq DESC, first.d, first.p) + 1 AS id FROM lex QUALIFY id <= 5001), t AS (SELECT doc_id, count(*) AS n, sum(coalesce(id, 1))::BIGINT AS ids, sum((id IS NULL)::INT)::BIGINT AS unknown FROM norms LEFT JOIN v USING (norm) GROUP BY doc_id) SELECT * FROM t")
-def word_ids(spark, d):
-    """V1, V4: vocabulary ids of each document's words."""
+def ids_of_documents(spark, d, size):
     docs = documents(spark, d)
-    ids = vectors.word_ids(docs.select("doc_id", T.word_tokens(F.col("text")).alias("words")), lexicon.vocabulary(lexicon_of(spark, d), 5002), ["doc_id"])
+    ids = vectors.word_ids(docs.select("doc_id", T.word_tokens(F.col("text")).alias("words")), lexicon.vocabulary(lexicon_of(spark, d), size), ["doc_id"])
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), total.alias("ids"), F.size(F.filter("ids", lambda x: x == 1)).cast("long").alias("unknown"))
 
 
+@query(f"WITH {LEX}, v AS (SELECT norm, row_number() OVER (ORDER BY freq DESC, first.d, first.p) + 1 AS id FROM lex QUALIFY id <= 5001), t AS (SELECT doc_id, count(*) AS n, sum(coalesce(id, 1))::BIGINT AS ids, sum((id IS NULL)::INT)::BIGINT AS unknown FROM norms LEFT JOIN v USING (norm) GROUP BY doc_id) SELECT * FROM t")
+def word_ids(spark, d):
+    """V1, V4: vocabulary ids of each document's words."""
+    return ids_of_documents(spark, d, 5002)
+
+
+@query(SQL["word_ids"].replace("id <= 5001", "id <= 79999"))
+def word_ids_whole(spark, d):
+    """V1, V4: the same with the vocabulary at the operator's size."""
+    return ids_of_documents(spark, d, 80_000)
+
+
 @query(f"WITH {WORDS}, b AS (SELECT DISTINCT {NORM.format('w')} AS norm FROM (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS w FROM benchmark)) SELECT doc_id, pos::INT AS pos, word FROM words WHERE {NORM.format('word')} NOT IN (SELECT norm FROM b)")
 def unknown_words(spark, d):
     """The row-local stages that also run on a stream."""
