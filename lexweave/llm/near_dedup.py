@@ -3,29 +3,29 @@
 * Weights.  A shingle (five words) weighs its count in the document times ln(1 + 1 / max(df / N, FLOOR)).  Document
   frequencies are exact over all documents wherever they reach FLOOR of them: each task reports shingles in over a
   quarter of FLOOR of its own documents, a sum of these reports bounds every frequency to within a
-  quarter of FLOOR of all, so at most (mean shingles a document) / (0.75 FLOOR) candidates are left at any size, and these are counted exactly.
+  quarter of FLOOR of all, so at most (mean shingles a document) / (0.75 FLOOR) candidates are left at any number of documents, and
+  these are counted exactly.
 * Signatures.  Texts with the same words are collapsed to one representative.  Improved consistent weighted
   sampling (Ioffe, 2010) draws BANDS x ROWS samples (shingle, quantised log weight); equal bands share a bucket.
-* Links.  In rounds, each bucket's best connected unsettled member leads and all members not yet compared with it are verified by
-  weighted Jaccard similarity; members that match no leader stay unsettled.  After the rounds, documents whose
-  buckets still hold different components are joined on the least crowded shingles that leave less than the threshold of their
-  weight (prefix filtering, which is exact), across components only: no link is lost and no bucket's pairs are expanded.
+* Leaders.  Each bucket's best connected member leads, and the others are verified against it by weighted Jaccard similarity.  Buckets
+  with more members left than a block holds get further rounds of leaders, among these members only.
+* Blocks.  A bucket that still holds several components of links is cut into blocks of bounded size, by component where one fills a
+  block.  Two blocks are compared as a whole, by products of their 0/1 matrices of weighted shingles, and give at most one link for two components.
+  So every two members of a bucket are compared or known to be in one class, and no table has a row for a pair of members that are not linked.
 * Classes are connected components of the links.
 
-Only (band, id) rows and pairs are grouped.  A bucket's leader comes from a map-side maximum, and joins on a
-bucket's key are plain equi-joins that adaptive execution splits.
+Only (band, id) rows and pairs of blocks are grouped.  A bucket's leader comes from a map-side maximum and is written before it is joined,
+so that adaptive execution splits a hot bucket.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,15 +34,15 @@ from .staging import staged
 
 FLOOR = 0.01
 ROWS, BANDS = 3, 14
-#: Entries of the table of frequent shingles that a task may hold; beyond it FLOOR is doubled until the table fits.
-FREQUENT = 4_000_000
 LEADER_ROUNDS = 3
-#: Share of the samples expected to agree at the threshold that two documents must have to be verified after the rounds.  At 0.8 a
-#: pair agrees in 34 of 42, with a deviation of 2.5: the chance of less than 20 is under one in a million, far under that of sharing no band.
-AGREE = 0.6
-#: Bits of the hash values by which shingles are ordered for prefix filtering.
-CROWD_BITS = 20
+#: Bytes in a block, of weighted shingles and MEMBER for each member; a document with more is a block of its own.
+BLOCK, MEMBER = 6_000_000, 4096
+#: Members left in a bucket from which another leader is worth a round.
+CROWDED = 2_000
+#: Columns of the matrices that are multiplied at once.
+COLUMNS = 4096
 _FIXED = np.arange(1, 1 + ROWS * BANDS, dtype=np.uint64)
+_AGAIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -83,27 +83,6 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray) -> np.ndarray
     return out
 
 
-def nibbles(samples: np.ndarray) -> np.ndarray:
-    """(rows, 3): four bits of each sample, sixteen samples in a number."""
-    four = np.zeros((len(samples), 48), np.uint64)
-    four[:, : samples.shape[1]] = samples >> np.uint64(60)
-    packed = np.zeros((len(samples), 3), np.uint64)
-    for k in range(16):
-        packed |= four[:, k::16] << np.uint64(4 * k)
-    return packed.view(np.int64)
-
-
-def agreement(a: str, b: str) -> Column:
-    """How many of the samples of two documents agree in their four bits."""
-    total = F.lit(ROWS * BANDS - 48)
-    for k in range(3):
-        x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(any_bit, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + 16 - F.bit_count(any_bit)
-    return total
-
-
 class Weights:
     """Shingle weights from exact frequencies of frequent shingles."""
 
@@ -121,7 +100,7 @@ class Weights:
         return times * idf
 
 
-def frequent_shingles(docs: DataFrame, words: int, floor: float, limit: int = FREQUENT) -> Weights:
+def frequent_shingles(docs: DataFrame, words: int, floor: float) -> Weights:
     """Weights over all rows of `docs` (text)."""
     texts = docs.select("text")
 
@@ -143,8 +122,6 @@ def frequent_shingles(docs: DataFrame, words: int, floor: float, limit: int = FR
     reports = staged(texts.mapInArrow(local, "h long, c long, total boolean"), "near-reports")
     n = reports.filter("total").agg(F.sum("c")).first()[0] or 0
     found = reports.filter("not total").groupBy("h").agg(F.sum("c").alias("c"))
-    while found.filter(F.col("c") >= 0.75 * floor * n).count() > limit:
-        floor *= 2
     table = found.filter(F.col("c") >= 0.75 * floor * n).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     table = np.sort(table)
 
@@ -174,33 +151,99 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return h[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def similarities(a: pa.Array, b: pa.Array, weights: Weights, words: int = 5) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts; 0 if either has no words."""
-    ra, ha, ca = shingle_counts(a, words)
-    rb, hb, cb = shingle_counts(b, words)
-    row, h = np.r_[ra, rb], np.r_[ha, hb]
-    w = np.r_[weights(ha, ca), weights(hb, cb)]
-    order = np.lexsort((h, row))
-    row, h, w = row[order], h[order], w[order]
-    total = np.bincount(row, w, minlength=len(a))
-    same = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1])) if len(row) else np.zeros(0, np.int64)
-    shared = np.bincount(row[same], np.minimum(w[same], w[same + 1]), minlength=len(a))
-    return shared / np.maximum(total - shared, 1e-300) * (shared > 0)
+def weighted_sets(texts: pa.Array, weights: Weights, words: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted keys, weight of each) of each text: a shingle that occurs k times is there under k keys, so similarity is that of sets."""
+    row, h, times = shingle_counts(texts, words)
+    idf = weights(h, np.ones(len(h), np.int64))
+    at = np.repeat(np.arange(len(h)), times)
+    turn = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    key = np.where(turn == 0, h[at], mix(h[at] + turn * _AGAIN))
+    row, weight = row[at], idf[at].astype(np.float32)
+    if turn.any():
+        order = np.lexsort((key, row))
+        row, key, weight = row[order], key[order], weight[order]
+    cut = np.searchsorted(row, np.arange(len(texts) + 1))
+    return [(key[a:b], weight[a:b]) for a, b in zip(cut, cut[1:])]
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two weighted sets; 0 if they share nothing."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    shared = float(a[1][b[0][at] == a[0]].sum(dtype=np.float64))
+    return shared / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - shared)
+
+
+def shared_weights(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The weight that each set of one block shares with each of another."""
+    out = np.zeros((len(left), len(right)))
+    sides = [(np.concatenate([k for k, _ in s]), np.repeat(np.arange(len(s)), [len(k) for k, _ in s])) for s in (left, right)]
+    common, first = np.unique(sides[1][0], return_index=True)
+    common_weight = np.concatenate([w for _, w in right])[first].astype(np.float64)
+    both = np.isin(common, sides[0][0])
+    common, common_weight = common[both], common_weight[both]
+    if not len(common):
+        return out
+    placed = []
+    for key, of in sides:
+        at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+        on = common[at] == key
+        placed.append((at[on], of[on]))
+    for start in range(0, len(common), COLUMNS):
+        end = min(start + COLUMNS, len(common))
+        tables = []
+        for (at, of), n in zip(placed, (len(left), len(right))):
+            here = (at >= start) & (at < end)
+            table = np.zeros((n, end - start))
+            table[of[here], at[here] - start] = 1
+            tables.append(table)
+        out += (tables[0] * common_weight[start:end]) @ tables[1].T
+    return out
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, floor: float = FLOOR) -> DataFrame:
+def block_links(ids: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links between members of different components, as few as join what they join.  All of one side: it is compared with itself."""
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if (side == 1).any() else x
+    total = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    shared = shared_weights([sets[i] for i in x], [sets[i] for i in y])
+    union = total[x][:, None] + total[y][None, :] - shared
+    i, j = np.nonzero((shared >= (threshold - 1e-12) * union) & (shared > 0) & (component[x][:, None] != component[y][None, :]))
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    found = []
+    if len(i):
+        i, j = x[i], y[j]
+        _, at = np.unique(np.stack([component[i], component[j]]), axis=1, return_index=True)
+        for a, b in zip(i[at].tolist(), j[at].tolist()):
+            p, q = root(int(component[a])), root(int(component[b]))
+            if p != q:
+                parent[p] = q
+                found.append((min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))))
+    return found
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, floor: float = FLOOR, block: int = BLOCK, crowded: int = CROWDED) -> DataFrame:
     """(id, class_id, class_size, links): one row for each distinct id of `docs`.
 
     Two documents are linked if their weighted Jaccard similarity is at least `threshold` (or their words are the
-    same); a class is a connected component of links, named by its smallest id.  `links` counts links found to other
-    representatives of texts.  Rows without id are ignored; of rows that share an id the text with the greatest hash counts;
-    a text without words is in a class of its own.  Words are runs of letters, digits and non-ASCII characters, lower-cased.
+    same); a class is a connected component of links, named by its smallest id.  `links` counts the links that were verified, which join
+    the class and need not be all there are.  Rows without id are ignored; of rows that share an id the text with the greatest hash counts;
+    null and empty texts, and any without words, are in a class of their own; a text of any length is compared whole.  An empty table gives
+    no rows, and columns besides the two named are not read.  Words are runs of letters, digits and non-ASCII characters, lower-cased.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
     docs = docs.withColumn("pick", F.xxhash64("text"))
     weights = frequent_shingles(docs, words, floor)
-    held = spark.sparkContext.broadcast(weights)  # at most FREQUENT entries
+    held = spark.sparkContext.broadcast(weights)  # (mean shingles a document) / (0.75 floor) entries at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,23 +255,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 np.add.at(a, of, mix(word + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
                 np.add.at(b, of, mix(word ^ mix(place.astype(np.uint64) + np.uint64(99))))
                 row, h, times = shingle_counts(part, words)
-                bands, packed = [b""] * len(part), np.zeros((len(part), 3), np.int64)
+                bands = [b""] * len(part)
                 if len(row):
-                    s = signatures(row, h, held.value(h, times))
-                    packed[np.unique(row)] = nibbles(s)
-                    s = s.reshape(-1, BANDS, ROWS)
+                    s = signatures(row, h, held.value(h, times)).reshape(-1, BANDS, ROWS)
                     key = np.zeros(s.shape[:2], np.uint64)
                     for j in range(ROWS):
                         key = mix(key + s[:, :, j] + np.arange(BANDS, dtype=np.uint64))
                     for r, k in zip(np.unique(row), key):
                         bands[r] = k.tobytes()
                 has = np.bincount(of, minlength=len(part)) > 0
-                yield pa.RecordBatch.from_arrays([ids, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(has), pa.array(bands, pa.binary()), batch.column(2).slice(at, len(part)), *(pa.array(packed[:, k]) for k in range(3))], ["id", "a", "b", "has", "bands", "pick", "s0", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(has), pa.array(bands, pa.binary()), batch.column(2).slice(at, len(part))], ["id", "a", "b", "has", "bands", "pick"])
 
-    signed = staged(docs.mapInArrow(sign, "id long, a long, b long, has boolean, bands binary, pick long, s0 long, s1 long, s2 long"), "near-signed")
-    first = signed.groupBy("id").agg(F.max_by(F.struct("a", "b", "has", "bands", "s0", "s1", "s2"), "pick").alias("w")).select("id", "w.*")
+    signed = staged(docs.mapInArrow(sign, "id long, a long, b long, has boolean, bands binary, pick long"), "near-signed")
+    first = signed.groupBy("id").agg(F.max_by(F.struct("a", "b", "has", "bands"), "pick").alias("w")).select("id", "w.*")
     same = first.filter("has").groupBy("a", "b").agg(F.min("id").alias("rep"))
-    members = staged(first.join(same, ["a", "b"], "left").select("id", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce(F.col("id") == F.col("rep"), F.lit(True)), F.col("bands")).alias("bands"), "s0", "s1", "s2"), "near-members")
+    members = staged(first.join(same, ["a", "b"], "left").select("id", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce(F.col("id") == F.col("rep"), F.lit(True)), F.col("bands")).alias("bands")), "near-members")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,121 +277,117 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "id"])
 
     entries = members.filter("length(bands) > 0").select("rep", "bands").mapInArrow(banded, "bucket long, id long")
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = staged(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
     entries = staged(entries.join(shared, "bucket").select("bucket", "id", "n"), "near-entries")
-    asked = entries.select("id").distinct().join(members.select("id", "s0", "s1", "s2"), "id")
-    texts = docs.join(asked, "id").groupBy("id", "s0", "s1", "s2").agg(F.max_by("text", "pick").alias("text"))
-    texts = staged(texts, "near-texts")
-    links, compared = _linked(entries, texts, held, threshold, words)
-    nodes = links.unionByName(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    classes = components(nodes)
+    asked = docs.join(entries.select("id").distinct(), "id").groupBy("id").agg(F.max_by("text", "pick").alias("text"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in pieces(batch.column(1)):
+                sets = weighted_sets(part, held.value, words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([k.tobytes() for k, _ in sets], pa.binary()), pa.array([w.tobytes() for _, w in sets], pa.binary())], ["id", "keys", "weights"])
+
+    sets = staged(asked.mapInArrow(weigh, "id long, keys binary, weights binary"), "near-sets")
+    links, classes = _linked(entries, sets, members.select(F.col("rep").alias("id")), threshold, block, crowded)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     out = members.select("id", "rep").join(classes.withColumnRenamed("id", "rep"), "rep").join(degree, "rep", "left")
-    size = out.groupBy("component").agg(F.count("*").alias("class_size"))
+    size = staged(out.groupBy("component").agg(F.count("*").alias("class_size")), "near-sizes")
     return out.join(size, "component").select("id", F.col("component").alias("class_id"), "class_size", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, held, words: int) -> DataFrame:
-    """(a, b, d): the weighted Jaccard distance of each pair."""
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, part in pieces(batch.column(2), 1_000_000):
-                other = next(pieces(batch.column(3).slice(at, len(part)), 1 << 62))[1]
-                d = 1 - similarities(part, other, held.value, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(d)], ["a", "b", "d"])
+def _set(keys: pa.Scalar, weights: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(weights.as_buffer(), np.float32)
 
-    return staged(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, d double"), "near-verified")
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs that are links."""
+    side = lambda n: sets.select(F.col("id").alias(n), F.col("keys").alias(f"k{n}"), F.col("weights").alias(f"w{n}"))
 
-def _crowding(docs: DataFrame, words: int) -> np.ndarray:
-    """How many documents have a shingle of each of 2 ** CROWD_BITS hash values; a fixed size at any number of documents."""
-    parts = 16
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CROWD_BITS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in pieces(batch.column(0)):
-                total += np.bincount((shingle_counts(part, words)[1] >> np.uint64(64 - CROWD_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts)), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(total, parts)], pa.binary())], ["part", "counts"])
+            found = [similarity(_set(ka, wa), _set(kb, wb)) >= threshold - 1e-12 for ka, wa, kb, wb in zip(*batch.columns[2:])]
+            on = pa.array(found, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], ["a", "b"])
 
-    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows["counts"])
-        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "wa", "kb", "wb")
+    return staged(joined.mapInArrow(run, "a long, b long"), "near-verified")
 
-    found = docs.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(added, "part long, counts binary").orderBy("part").collect()
-    return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in found]) if found else np.zeros(1 << CROWD_BITS, np.int64)
 
-
-def _prefixes(docs: DataFrame, held, threshold: float, words: int) -> DataFrame:
-    """(h, id, component, total, s0, s1, s2): each document's least crowded shingles, as many as leave less than `threshold` of its weight.
-
-    Two documents that share none of these cannot be linked: what they share would be all in the rest of one of them.  Any
-    order that is the same for all documents will do; crowded hash values come last, so that passages that many documents share join few.
-    """
-    crowd = docs.sparkSession.sparkContext.broadcast(_crowding(docs, words))  # 2 ** CROWD_BITS numbers
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, component, *packed = (batch.column(k).to_numpy() for k in (0, 1, 3, 4, 5))
-            for at, part in pieces(batch.column(2)):
-                row, h, times = shingle_counts(part, words)
-                w = held.value(h, times)
-                order = np.lexsort((h, crowd.value[(h >> np.uint64(64 - CROWD_BITS)).astype(np.int64)], row))
-                row, h, w = row[order], h[order], w[order]
-                total = np.bincount(row, w, minlength=len(part))
-                before = np.cumsum(w) - w
-                before -= before[np.searchsorted(row, row)]
-                # A shingle is in the prefix while what stands before it is not yet enough.
-                on = total[row] - before >= (threshold - 1e-9) * total[row]
-                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(ids[row[on] + at]), pa.array(component[row[on] + at]), pa.array(total[row[on]]), *(pa.array(x[row[on] + at]) for x in packed)], ["h", "id", "component", "total", "s0", "s1", "s2"])
-
-    return docs.mapInArrow(run, "h long, id long, component long, total double, s0 long, s1 long, s2 long")
-
-
-def _linked(entries: DataFrame, texts: DataFrame, held, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a < b), and every pair compared."""
-    far = 1 - threshold + 1e-12
+def _linked(entries: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: float, block: int, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a < b) and the components (id, component) that they make of `nodes`."""
     # The best connected member leads: an original shares more buckets with its copies than they share with each other.
     crowd = entries.groupBy("id").agg(F.sum("n").alias("crowd"))
-    open_ = staged(entries.join(crowd, "id").select("bucket", "id", "crowd"), "near-open")
-    compared = None
+    ranked = staged(entries.join(crowd, "id").select("bucket", "id", "n", "crowd"), "near-ranked")
+    alone = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    open_, leads, links, parts = ranked, None, None, None
     for _ in range(LEADER_ROUNDS):
-        lead = open_.groupBy("bucket").agg(F.max(F.struct("crowd", (-F.col("id")).alias("neg"))).alias("x")).select("bucket", (-F.col("x.neg")).alias("lead"))
-        led = entries.filter("n > 2") if compared is not None else entries
-        met = led.select("bucket", "id").join(lead, "bucket").filter("id <> lead").select("bucket", F.col("id"), "lead")
-        pairs = met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        fresh = _verified(pairs, texts, held, words)
-        compared = fresh if compared is None else compared.unionByName(fresh)
-        here = met.select("bucket", "id", "lead", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).join(compared, ["a", "b"]).select("bucket", "id", "lead", "d")
-        settled = here.filter(F.col("d") <= far).select("bucket", "id").unionByName(lead.select("bucket", F.col("lead").alias("id")))
-        open_ = staged(open_.join(settled, ["bucket", "id"], "left_anti"), "near-open")
-        if open_.isEmpty():
+        lead = open_.groupBy("bucket").agg(F.max(F.struct("crowd", (-F.col("id")).alias("neg"))).alias("x"))
+        lead = staged(lead.select("bucket", (-F.col("x.neg")).alias("lead")), "near-leads")
+        pairs = open_.join(lead, "bucket").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        fresh = _verified(pairs, sets, threshold)
+        links, leads = (fresh, lead) if links is None else (links.unionByName(fresh), leads.unionByName(lead))
+        parts = staged(components(links.unionByName(alone)), "near-parts")
+        marked = ranked.filter("n > 2").join(parts, "id")
+        closed = staged(leads.join(parts.withColumnRenamed("id", "lead"), "lead").select("bucket", "component").distinct(), "near-closed")
+        left = marked.join(closed, ["bucket", "component"], "left_anti").select("bucket", "id", "n", "crowd")
+        many = staged(left.groupBy("bucket").agg(F.count("*").alias("k")).filter(F.col("k") > crowded).select("bucket"), "near-many")
+        if many.isEmpty():
             break
-    links = compared.filter(F.col("d") <= far).select("a", "b")
-    # What is left: members of one bucket in different components.
-    many = entries.filter("n > 2")
-    parts = components(links.unionByName(many.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-    marked = many.join(parts, "id")
-    mixed = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    marked = staged(marked.join(mixed, "bucket").select("id", "component").distinct(), "near-mixed")
-    if not marked.isEmpty():
-        prefixes = staged(_prefixes(texts.join(marked, "id").select("id", "component", "text", "s0", "s1", "s2"), held, threshold, words), "near-prefixes")
-        x, y = prefixes.alias("x"), prefixes.alias("y")
-        alike = F.least("x.total", "y.total") >= (threshold - 1e-9) * F.greatest("x.total", "y.total")
-        rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike & (agreement("x", "y") >= int(AGREE * threshold * ROWS * BANDS)))
-        rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        fresh = _verified(rest, texts, held, words)
-        compared = compared.unionByName(fresh)
-        links = links.unionByName(fresh.filter(F.col("d") <= far).select("a", "b"))
-    return staged(links, "near-links"), compared
+        open_ = staged(left.join(many, "bucket", "left_semi"), "near-open")
+    fresh = _blocks(marked.select("bucket", "id", "component"), sets, threshold, block)
+    last = components(fresh.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = parts.join(last.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
+    return staged(links.unionByName(fresh.select("a", "b")), "near-links"), staged(merged.select("id", F.coalesce("whole", "component").alias("component")), "near-classes")
+
+
+def _blocks(marked: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b, ca, cb): links between the components that share a bucket, with the components."""
+    mixed = staged(marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"), "near-mixed")
+    rows = marked.join(mixed, "bucket").join(sets.select("id", (F.length("keys") * 3 / 2 + MEMBER).alias("size")), "id")
+    rows = staged(rows.select("bucket", "id", "component", "size"), "near-rows")
+    # A component that fills a block has blocks of its own, which are not compared with each other; the others share blocks.
+    filled = rows.groupBy("bucket", "component").agg(F.sum("size").alias("size")).withColumn("own", F.when(F.col("size") >= block, F.col("component")))
+    filled = staged(filled, "near-filled")
+    cuts = filled.groupBy("bucket", "own").agg(F.ceil(F.sum("size") / block).cast("int").alias("cuts"))
+    cuts = staged(cuts.withColumn("name", F.coalesce(F.col("own").cast("string"), F.lit("-"))).select("bucket", "own", "name", "cuts"), "near-cuts")
+    blocks = cuts.select("bucket", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.concat_ws(" ", "name", i.cast("string")))).alias("block"))
+    x, y = (blocks.select("bucket", F.col("own").alias(f"own{n}"), F.col("block").alias(n)) for n in "xy")
+    pairs = x.join(y, "bucket").filter((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("ownx") == F.col("owny"), F.lit(False)))
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side"))))
+    sides = sides.otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))
+    sides = pairs.select("bucket", "x", "y", F.explode(sides).alias("s")).select("bucket", "x", "y", "s.*")
+    of = rows.join(filled.select("bucket", "component", "own"), ["bucket", "component"]).withColumn("name", F.coalesce(F.col("own").cast("string"), F.lit("-")))
+    of = of.join(cuts.select("bucket", "name", "cuts"), ["bucket", "name"])
+    of = of.select("bucket", "id", "component", F.concat_ws(" ", "name", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("string")).alias("block"))
+    met = of.join(sides, ["bucket", "block"]).select("bucket", "x", "y", "side", "id", "component").join(sets, "id")
+    met = met.select("bucket", "x", "y", "side", "id", "component", "keys", "weights").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def linked() -> pa.RecordBatch:
+            side, ids, component = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            part = dict(zip(ids.tolist(), component.tolist()))
+            found = block_links(ids, component, side, [(np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], np.float32)) for r in held], threshold)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([a for a, _ in found], [b for _, b in found], [part[a] for a, _ in found], [part[b] for _, b in found])], ["a", "b", "ca", "cb"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != last:
+                    if held:
+                        yield linked()
+                    last, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield linked()
+
+    return staged(met.mapInArrow(run, "a long, b long, ca long, cb long"), "near-blocks")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each class, that of the smallest id; rows without id stay; columns unchanged."""
-    gone = near_classes(docs, id_col, text_col, **options).filter("id <> class_id").select("id")
-    return docs.join(gone, docs[id_col].cast("long") == gone["id"], "left_anti")
+    """`docs` with one document of each class, that of the smallest id; rows without id stay; columns unchanged.
+
+    Nulls, empty tables and repeated rows: as `near_classes`; of rows that share the smallest id all stay.
+    """
+    gone = near_classes(docs, id_col, text_col, **options).filter("id <> class_id").select(F.col("id").alias("_near_id"))
+    return docs.join(gone, docs[id_col].cast("long") == gone["_near_id"], "left_anti")
