@@ -262,15 +262,18 @@ def test_mix(spark):
 def test_packing(spark):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
-    raw = packing._Chunks(path)
-    odd = ["don't it's", "a<|endoftext|>b", "naïve Ærø ÀÉ", "x_y 1.5km", "“q” ﬁ İstanbul ΑΣ é", "日本語 a\x1cb", "Straße, '''t", ""]
-    for t in odd:
-        assert raw.ids(t) == raw.raw(t)
+    tokens = packing._Tokens(open(path).read())
+    odd = ["word, Word. WORD; x! y? z: a,b ,a é, e'. 's, x.' end..", "don't it's", "a<|endoftext|>b", "naïve Ærø ÀÉ", "x_y 1.5km", "“q” ﬁ İstanbul ΑΣ é", "日本語 a\x1cb", "Straße, '''t", ""]
+    odd += ["".join(chr(int(c)) for c in np.random.default_rng(k).choice([32, 9, 39, 60, 124, 65, 98, 48, 33, 45, 0xC9, 0xDF, 0xFF, 0xD7, 0x301, 0x130, 0x3A3, 0xA0, 0x85, 0x1C, 0x2028, 0x1F600], 60)) for k in range(60)]
+    ids, begins = tokens.ids(pa.array(odd, pa.large_string()), 0)
+    for t, a, b in zip(odd, begins, begins[1:]):
+        assert ids[a:b].tolist() == [*tokens.raw(t), 0], t
+    assert tokens.ids(pa.array([" ", ""], pa.large_string()), 7)[0].tolist() == [7, 7] and len(tokens.ids(pa.array([], pa.large_string()), 0)[0]) == 0
     rows = [(i, t, "s") for i, t in enumerate(odd)] + [(50 + i, words(20 * i, i), "s") for i in range(30)] + [(99, words(3000), "s"), (100, None, None), (None, "x", "s"), (50, "again", "s")]
     pieces = packing.token_pieces(docs_of(spark, rows), path)
     got = packing.pack(pieces, shard_rows=16).collect()
     assert len(got) == pieces.count()
-    ids = {k: np.frombuffer(raw.raw(t or ""), "<u4").tolist() + [0] for k, t, _ in rows if k == 99}
+    ids = {k: tokens.raw(t or "") + [0] for k, t, _ in rows if k == 99}
     part = [r for r in got if r.id == 99]
     assert sorted(r.piece for r in part) == list(range(-(-len(ids[99]) // 2048)))
     for r in part:
@@ -284,6 +287,40 @@ def test_packing(spark):
     assert packing.pack(packing.token_pieces(docs_of(spark, []), path)).count() == 0
 
 
+def _fewest(size, limit):
+    """The least number of bins, by trying every bin for each piece."""
+    best = [len(size)]
+
+    def put(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(size):
+            best[0] = len(room)
+            return
+        for r in sorted({r for r in room if r >= size[i]}):
+            put(i + 1, [*room[: room.index(r)], r - size[i], *room[room.index(r) + 1 :]])
+        put(i + 1, [*room, limit - size[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_evolve_against_brute_force():
+    """On small cases never below the least number of bins, and at it where best-fit-decreasing is not."""
+    rng, plain, evolved, least = np.random.default_rng(6), 0, 0, 0
+    for seed in range(25):
+        size = []
+        for _ in range(4):  # whole bins cut into three pieces, so that four bins hold them all
+            a, b = sorted(rng.choice(np.arange(300, 1700), 2, replace=False))
+            size += [int(a), int(b - a), int(2048 - b)]
+        size = [n for n in size if n]
+        start, best = packing.refit([], sorted(range(len(size))), size, 2048), packing.evolve(size, 2048, [], seed, 8, 60)
+        want = _fewest(sorted(size, reverse=True), 2048)
+        assert want <= len(best) <= len(start) and sorted(i for b in best for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= 2048 for b in best)
+        plain, evolved, least = plain + len(start), evolved + len(best), least + want
+    assert least <= evolved < plain
+
+
 def test_evolve_beats_no_bound():
     rng = np.random.default_rng(1)
     size = [int(x) for x in rng.integers(200, 1500, 300)]
@@ -306,13 +343,19 @@ def test_near_dedup_against_brute_force(spark):
             rows.append((10 * k + c, " ".join(w), "s"))
     rows += [(500, None, "s"), (501, "", "s"), (502, "Hello there", "s"), (503, "hello  THERE!", "s"), (0, base[0], "s"), (None, base[1], "s"), (504, words(4000, 77), "s")]
     got = {r.id: r for r in near_dedup.near_classes(docs_of(spark, rows)).collect()}
-    kept = {i: t or "" for i, t, _ in rows if i is not None}
-    weights = near_dedup.Weights(np.zeros(0, np.uint64), np.zeros(0), 1, near_dedup.FLOOR)
+    assert {i: r.class_id for i, r in got.items()} == _classes([(i, t or "") for i, t, _ in rows if i is not None])
+    kept_rows = near_dedup.drop_near(docs_of(spark, rows))
+    assert kept_rows.columns == docs_of(spark, rows).columns
+    assert near_dedup.near_classes(docs_of(spark, [])).count() == 0
+
+
+def _classes(rows):
+    """Classes by comparing all pairs; of rows that share an id the last text counts, and all count for frequencies."""
+    kept, n = dict(rows), len(rows)
     grams = {i: _grams(t) for i, t in kept.items()}
-    df = collections.Counter(g for c in grams.values() for g in c)
-    n = len([i for i, _, _ in rows if i is not None])
-    df.update(grams[0].keys())  # the repeated row counts
+    df = collections.Counter(g for _, t in rows for g in _grams(t))
     idf = {g: np.log1p(1 / max(v / n, near_dedup.FLOOR)) for g, v in df.items()}
+    total = {i: sum(k * idf[g] for g, k in c.items()) for i, c in grams.items()}
     parent = {i: i for i in kept}
 
     def root(i):
@@ -323,15 +366,40 @@ def test_near_dedup_against_brute_force(spark):
     for a in kept:
         for b in kept:
             if a < b:
-                low = sum(min(grams[a][g], grams[b][g]) * idf[g] for g in grams[a].keys() & grams[b].keys())
-                high = sum(max(grams[a][g], grams[b][g]) * idf[g] for g in grams[a].keys() | grams[b].keys())
-                if high and low / high >= 0.8:
+                shared = sum(min(k, grams[b][g]) * idf[g] for g, k in grams[a].items() if g in grams[b])
+                if shared and shared >= (0.8 - 1e-12) * (total[a] + total[b] - shared):
                     x, y = root(a), root(b)
                     parent[max(x, y)] = min(x, y)
-    assert {i: r.class_id for i, r in got.items()} == {i: root(i) for i in kept} and weights.rare > 4
-    kept_rows = near_dedup.drop_near(docs_of(spark, rows))
-    assert kept_rows.columns == docs_of(spark, rows).columns
-    assert near_dedup.near_classes(docs_of(spark, [])).count() == 0
+    return {i: root(i) for i in kept}
+
+
+@pytest.mark.parametrize("block, crowded", [(near_dedup.BLOCK, near_dedup.CROWDED), (200_000, 20)])
+def test_large_group_of_near_copies(spark, block, crowded):
+    """Edited copies of one text, most of them just under the threshold of each other, some of them linked in chains."""
+    rng, base, rows = np.random.default_rng(8), words(600, 5).split(), []
+    for k in range(160):
+        w = list(base)
+        for j in rng.choice(600, 1 + k % 5, replace=False):
+            w[j] = f"e{rng.integers(10**6)}"
+        rows.append((1000 - k, " ".join(w), "s"))
+    rows += [(k, words(60, 500 + k // 2) + f" tail{k}", "s") for k in range(40)] + [(2000, "a b", "s")]
+    got = near_dedup.near_classes(docs_of(spark, rows), block=block, crowded=crowded).collect()
+    want = _classes([(i, t) for i, t, _ in rows])
+    assert {r.id: r.class_id for r in got} == want and 2 < len({want[1000 - k] for k in range(160)}) < 150
+    # Links join classes and are not all pairs of a group.
+    assert sum(r.links for r in got) <= 2 * near_dedup.BANDS * len(rows)
+
+
+def test_blocks_agree_with_pairs():
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(rng.choice(["aa", "bb", "cc", "dd"], n)) for n in rng.integers(1, 40, 30)])
+    weights = near_dedup.Weights(np.zeros(0, np.uint64), np.zeros(0), 30, near_dedup.FLOOR)
+    sets = near_dedup.weighted_sets(next(near_dedup.pieces(texts))[1], weights, 2)
+    shared = near_dedup.shared_weights(sets, sets)
+    for i in range(30):
+        for j in range(30):
+            total = sets[i][1].sum(dtype=float) + sets[j][1].sum(dtype=float) - shared[i, j]
+            assert abs(near_dedup.similarity(sets[i], sets[j]) - (shared[i, j] / total if shared[i, j] else 0)) < 1e-9
 
 
 def _grams(text):
