@@ -14,12 +14,10 @@ Hot digests meet nowhere as rows: the stream sums map-side first, and the check
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import fresh_path, staged
+from .staging import fresh_path, located, sieved, staged
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Copies checked against one copy of the retained text.
@@ -35,14 +33,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """`docs` with `_file` and `_row`, unique for a row; anything but a plain file scan is staged first."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    if not set(re.findall(r"^[\s:+-]*(\w+)", plan, re.M)) <= {"Project", "Filter", "Relation"}:
-        docs = staged(docs, "exact-docs")
-    return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-
-
 def streamed_groups(slim: DataFrame, files_per_trigger: int | None = None) -> tuple[DataFrame, str]:
     """(digest, best, n) after the stream has consumed the staged table `slim`, and the path of that table."""
     spark = slim.sparkSession
@@ -78,51 +68,61 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when the same bytes remain after deleting `[\\x20\\x09-\\x0D]`.  Of equal texts the
     one with most code points stays, then the smallest id (null ids last), then the first row in the file; exactly one row of a
-    group is kept, also among repeated rows.  Null texts count as empty.  An empty table gives no rows.
+    group is kept, also among repeated rows.  Null texts count as empty; texts of any length are compared whole.  An empty table gives no
+    rows; other columns, whatever their names, are not read.  Tables that are no Parquet scan are staged first.
     `digest`: Column -> binary Column; a weak one is only slower, since hits are checked on bytes.
     """
-    return _groups(located(docs.select(id_col, text_col)), id_col, text_col, digest, files_per_trigger)
+    rows, file, row = located(docs.select(id_col, text_col))
+    return _groups(rows.withColumnsRenamed({file: "_file", row: "_row"}), id_col, text_col, digest, files_per_trigger)
 
 
 def _groups(rows: DataFrame, id_col: str, text_col: str, digest=None, files_per_trigger: int | None = None) -> DataFrame:
     digest = digest or (lambda t: F.unhex(F.sha2(t, 256)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), "_file", "_row")
-    norm = normalised(F.col("text"))
-    slim = rows.select("id", F.length(F.coalesce("text", F.lit(""))).alias("n_points"), digest(norm).alias("digest"), "_file", "_row")
+    slim = rows.select("id", F.length(F.coalesce("text", F.lit(""))).alias("n_points"), digest(normalised(F.col("text"))).alias("digest"), "_file", "_row")
     groups, path = streamed_groups(slim, files_per_trigger)
     groups = staged(groups, "exact-state")
     slim = slim.sparkSession.read.schema(slim.schema).parquet(path)
     found = slim.join(groups, "digest").withColumn("kept", (F.col("_file") == F.col("best._file")) & (F.col("_row") == F.col("best._row")))
-    found = staged(found.select("id", "digest", "n_points", "n", "kept", "_file", "_row", (-F.col("best.neg_id")).alias("keep_id"), F.col("best._file").alias("keep_file"), F.col("best._row").alias("keep_row")), "exact-found")
-    wrong = _mismatched(rows, found)
-    sure = found.join(wrong.select("digest").distinct(), "digest", "left_anti")
-    sure = sure.select("id", "keep_id", F.col("n").alias("group_size"), "kept", "digest", "_file", "_row")
-    return sure.unionByName(_regrouped(rows, found, wrong))
+    found = staged(found.select("id", "digest", "n_points", "n", "kept", "_file", "_row", (-F.col("best.neg_id")).alias("keep_id")), "exact-found")
+    texts = _hit_texts(rows, found)
+    wrong = _mismatched(texts)
+    sure = found.select("id", "keep_id", F.col("n").alias("group_size"), "kept", "digest", "_file", "_row")
+    if wrong.isEmpty():
+        return sure
+    return sure.join(wrong, "digest", "left_anti").select(*sure.columns).unionByName(_regrouped(texts, wrong))
+
 
+def _hit_texts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of digests that were hit more than once, with their normalised texts; few other texts are moved or normalised."""
+    many = found.filter("n > 1")
+    place = ["_file", "_row"]
+    texts = sieved(rows.select(*place, "text"), many.select(*place), place).join(many, place)
+    return staged(texts.withColumn("norm", normalised(F.col("text"))).drop("text"), "exact-hits")
 
-def _mismatched(rows: DataFrame, found: DataFrame) -> DataFrame:
+
+def _mismatched(texts: DataFrame) -> DataFrame:
     """Digests of groups in which a copy's bytes differ from those at the retained locator."""
-    spark = rows.sparkSession
     salts = F.ceil(F.col("n") / COPIES_A_SALT).cast("int")
-    many = found.filter("n > 1").select("digest", "n", "kept", "_file", "_row")
-    texts = rows.select("_file", "_row", normalised(F.col("text")).alias("norm")).join(many, ["_file", "_row"])
-    texts = staged(texts, "exact-hits")
     held = texts.filter("kept").select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("norm").alias("held"))
     hits = texts.filter("not kept").select("digest", F.pmod(F.xxhash64("_file", "_row"), salts).cast("int").alias("salt"), "norm")
     return staged(hits.join(held, ["digest", "salt"]).filter("norm <> held").select("digest").distinct(), "exact-wrong")
 
 
-def _regrouped(rows: DataFrame, found: DataFrame, wrong: DataFrame) -> DataFrame:
+def _regrouped(texts: DataFrame, wrong: DataFrame) -> DataFrame:
     """The exact way for colliding digests: groups of whole normalised texts."""
-    again = found.join(wrong, "digest", "left_semi").select("id", "digest", "n_points", "_file", "_row")
-    again = again.join(rows.select("_file", "_row", normalised(F.col("text")).alias("norm")), ["_file", "_row"])
+    again = texts.join(wrong, "digest", "left_semi")
     best = again.groupBy("norm").agg(F.max(F.struct("n_points", (-F.col("id")).alias("neg_id"), "_file", "_row")).alias("best"), F.count("*").alias("group_size"))
-    out = again.join(best, "norm")
+    out = again.select("norm", "id", "digest", "_file", "_row").join(best, "norm")
     return out.select("id", (-F.col("best.neg_id")).alias("keep_id"), "group_size", ((F.col("_file") == F.col("best._file")) & (F.col("_row") == F.col("best._row"))).alias("kept"), "digest", "_file", "_row")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that `exact_groups` drops; columns unchanged."""
-    rows = located(docs)
-    keep = _groups(rows, id_col, text_col).filter("kept").select("_file", "_row")
-    return rows.join(keep, ["_file", "_row"], "left_semi").select(*docs.columns)
+    """`docs` without the rows that `exact_groups` drops; columns unchanged.
+
+    Nulls, empty tables, ties and repeated rows: as `exact_groups`; columns of any name stay.
+    """
+    rows, file, row = located(docs)
+    groups = _groups(rows.select(F.col(id_col), F.col(text_col), F.col(file).alias("_file"), F.col(row).alias("_row")), id_col, text_col)
+    keep = groups.filter("kept").select(F.col("_file").alias(file), F.col("_row").alias(row))
+    return rows.join(keep, [file, row], "left_semi").select(*docs.columns)
