@@ -88,24 +88,42 @@ def votes_of(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // 3 ** np.arange(k - 1, -1, -1)[None, :] % 3
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """P(good) of each vote pattern, by expectation-maximisation from "no labeller votes bad"."""
+class Labels:
+    """What expectation-maximisation found: the share of each class, and each labeller's votes given the class."""
+
+    def __init__(self, prior: np.ndarray, tables: np.ndarray) -> None:
+        #: (2,) logarithms of the classes' shares; (2, labellers, 3) logarithms of the votes' shares, 0 for none.
+        self.prior, self.tables = prior, tables
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """P(good) of any vote patterns, seen before or not."""
+        votes = votes_of(np.asarray(codes))
+        like = self.prior[None, :] + self.tables[:, np.arange(votes.shape[1]), votes].sum(2).T
+        return 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
+
+
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Labels:
+    """Accuracies of the labellers from the counts of vote patterns, by expectation-maximisation from "no labeller votes bad".
+
+    Without any pattern both classes are as likely, and no vote tells them apart.
+    """
     votes = votes_of(codes)
     p = np.where((votes == BAD).any(1), 0.1, 0.9)
     for _ in range(rounds):
-        like = np.zeros((len(codes), 2))
+        prior, tables = np.zeros(2), np.zeros((2, len(LABELLERS), 3))
         for c, q in enumerate((1 - p, p)):
             weight = q * counts
-            like[:, c] = np.log(weight.sum() + 1)
-            for j in range(votes.shape[1]):
+            prior[c] = np.log(weight.sum() + 1)
+            for j in range(len(LABELLERS)):
                 table = np.bincount(votes[:, j], weight, 3) + 0.1
-                table /= table.sum()
-                like[:, c] += np.where(votes[:, j] == NONE, 0, np.log(table)[votes[:, j]])
-        new = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
-        if np.abs(new - p).max() < 1e-9:
+                tables[c, j] = np.log(table / table.sum())
+        tables[:, :, NONE] = 0
+        found = Labels(prior - np.log(np.exp(prior).sum()), tables)
+        new = found(codes)
+        if np.abs(new - p).max(initial=0) < 1e-9:
             break
         p = new
-    return p
+    return found
 
 
 def hashed(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -158,15 +176,18 @@ def fit_scorer(examples: list[tuple[np.ndarray, np.ndarray, float]], epochs: int
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float, codes: np.ndarray, posterior: np.ndarray) -> None:
-        self.weights, self.bias, self.codes, self.posterior = weights, bias, codes, posterior
+    """A fitted scorer, which holds for tables other than the one it was fitted on; `weak` gives P(good) of vote patterns."""
 
-    def weak(self, code: np.ndarray) -> np.ndarray:
-        return self.posterior[np.searchsorted(self.codes, code)]
+    def __init__(self, weights: np.ndarray, bias: float, weak: Labels) -> None:
+        self.weights, self.bias, self.weak = weights, bias, weak
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Vote patterns of all documents, and the scorer on at most `sample` of them."""
+    """Vote patterns of all documents, and the scorer on at most `sample` of them.
+
+    Null, empty and wordless texts get no votes and teach nothing; a text of any length is read whole; repeated rows count each time.  An
+    empty table gives a scorer that takes any text with words for good and bad alike (0.5).  Other columns are not read.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +200,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     counted = rows.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
     codes, counts = counted["code"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
-    posterior = estimate(codes, counts) if len(codes) else np.zeros(0)
+    weak = estimate(codes, counts)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +221,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     keys = rows.select(key.alias("k")).orderBy("k").limit(sample)
     last = keys.agg(F.max("k")).first()[0]
     chosen = rows.filter(key <= last if last is not None else F.lit(False)).select("text").mapInArrow(vectors, "code long, feature binary, value binary").limit(2 * sample)
-    model = Model(np.zeros(KINDS << BITS), 0.0, codes, posterior)
+    model = Model(np.zeros(KINDS << BITS), 0.0, weak)
     examples = [(np.frombuffer(r["feature"], np.int32), np.frombuffer(r["value"], np.float32), model.weak(np.array([r["code"]]))[0]) for r in sorted(chosen.collect())]
     model.weights, model.bias = fit_scorer([e for e in examples if len(e[0])])
     return model
@@ -209,7 +230,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 def classified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, weak, score, quality): one row for each row of `docs`.
 
-    `quality` is 1 where the score is at least 0.5.  Null, empty and wordless texts score 0.  Repeated rows are scored alike.
+    `quality` is 1 where the score is at least 0.5.  Null, empty and wordless texts score 0.  Repeated rows are scored alike; ids may be
+    null or repeat.  An empty table gives no rows; a text of any length is scored whole; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # KINDS << BITS weights
 
@@ -223,7 +245,10 @@ def classified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that the scorer rejects; columns unchanged, nothing shuffled."""
+    """`docs` without the rows that the scorer rejects; columns unchanged, nothing shuffled.
+
+    Rows with null, empty or wordless texts go; an empty table stays empty; repeated rows stay or go together.
+    """
     held, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
