@@ -4,10 +4,12 @@ A text is cut into units: at line breaks, after sentence ends, and where a capit
 without a sentence end, so that a passage pasted into the middle of a line has units of its own.  A unit's
 digest covers its lower-cased words only.  Digests are grouped over all documents; the earliest occurrence, by document id and then
 by place, stays.  A run of units in a document that all occurred earlier and together have at least `min_words`
-words is removed; shorter repeats, such as a common short line, are left alone.
+words is removed.  Shorter repeats stay by default: in a large corpus nearly every short line ("Read more.") occurs somewhere earlier,
+and taking them out would cut holes into documents that copy nothing; `min_words=1` removes every repeated unit.
 
-Rows in the two shuffles are digests and places, never texts.  A digest that a third of all rows hold is
-reduced map-side for its first occurrence, and meets its occurrences in an equi-join that adaptive execution splits.
+Rows in the two shuffles are digests and places, never texts; units that occur once are mostly kept from the second.  A digest that a
+third of all rows hold is reduced map-side for its first occurrence, which is written, and meets its occurrences in an equi-join that adaptive
+execution splits.  Digests have 128 bits: among a million million units two different ones are taken for equal with a chance of one in 10 ** 14.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WORD_BYTE, buffers, mix, pieces, word_hashes, word_spans
+from .staging import sieved, staged
 
 _LAST = (1 << 63) - 1
 _BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
@@ -45,27 +48,22 @@ def cuts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = (row[1:] != row[gap]) | (breaks[start[1:]] > breaks[end[gap]]) | (blank & (stops[start[1:]] > stops[end[gap]])) | (blank & upper[1:] & ~upper[gap])
     at = np.flatnonzero(new)
     # A unit starts after the white space that follows the one before it.
-    begin = start[at].copy()
-    for _ in range(64):
-        back = begin - 1
-        more = (back >= off[row[at]]) & ~_BLANK[data[np.maximum(back, 0)]] & ~WORD_BYTE[data[np.maximum(back, 0)]]
-        if not more.any():
-            break
-        begin = np.where(more, back, begin)
+    ends = np.concatenate(([-1], np.flatnonzero(_BLANK[data] | WORD_BYTE[data])))
+    begin = np.maximum(ends[np.searchsorted(ends, start[at]) - 1] + 1, off[row[at]])
     return begin, row[at], np.diff(np.append(at, len(start)))
 
 
-def unit_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, index in the row, digest, words) of every unit with a word."""
+def unit_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index in the row, two halves of the digest, words) of every unit with a word."""
     _, row, words = cuts(texts)
     word, _ = word_hashes(texts)
     if not len(row):
         z = np.zeros(0, np.int64)
-        return z, z, z.view(np.uint64), z
+        return z, z, z.view(np.uint64), z.view(np.uint64), z
     at = np.cumsum(words) - words
     place = (np.arange(len(word)) - np.repeat(at, words)).astype(np.uint64)
-    h = mix(np.add.reduceat(mix(word + place * np.uint64(0x9E3779B97F4A7C15)), at) + words.astype(np.uint64))
-    return row, np.arange(len(row)) - np.searchsorted(row, row), h, words
+    h, g = (mix(np.add.reduceat(mix((word ^ np.uint64(key)) + place * np.uint64(0x9E3779B97F4A7C15)), at) + words.astype(np.uint64)) for key in (0, 0x94D049BB133111EB))
+    return row, np.arange(len(row)) - np.searchsorted(row, row), h, g, words
 
 
 def repeated_runs(index: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -85,13 +83,14 @@ def repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rank, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, part in pieces(batch.column(2)):
-                row, index, h, words = unit_hashes(part)
+                row, index, h, g, words = unit_hashes(part)
                 row = row + at
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rank[row]), pa.array(key[row]), pa.array(index.astype(np.int32)), pa.array(words.astype(np.int32))], ["h", "rank", "key", "i", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(rank[row]), pa.array(key[row]), pa.array(index.astype(np.int32)), pa.array(words.astype(np.int32))], ["h", "g", "rank", "key", "i", "n"])
 
-    units = docs.mapInArrow(explode, "h long, rank long, key long, i int, n int")
-    first = units.groupBy("h").agg(F.min(F.struct("rank", "key", "i")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    later = units.join(first, "h").filter(F.struct("rank", "key", "i") > F.col("first"))
+    units = docs.mapInArrow(explode, "h long, g long, rank long, key long, i int, n int")
+    # Written, so that the join deals its units anew and adaptive execution can split a hot digest.
+    first = staged(units.groupBy("h", "g").agg(F.min(F.struct("rank", "key", "i")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times"), "substring-first")
+    later = sieved(units, first, ["h", "g"]).join(first, ["h", "g"]).filter(F.struct("rank", "key", "i") > F.col("first"))
     return later.groupBy("rank", "key").agg(F.sort_array(F.collect_list(F.struct("i", "n", F.col("first.rank").alias("keeper")))).alias("units"))
 
 
@@ -100,7 +99,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     `removed` lists start and end (code points in the original text) and `keep_id`, the document with the earliest
     occurrence of the span's first unit; the kept parts are joined as they are.  Null texts count as empty; null ids rank last;
-    rows equal in id and text count as one document and have the same result.
+    rows equal in id and text count as one document and have the same result; of rows that share an id but not the text, the
+    one of the smaller hash ranks first.  A text of any length is cut whole, an empty table gives no rows, other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select(F.coalesce("id", F.lit(_LAST)).alias("rank"), F.xxhash64("id", "text").alias("key"), "text", "id")
