@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import located, staged, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that the dynamic programme closes at most.
@@ -104,15 +104,15 @@ def fit(lengths: list[int], counts: list[int], target: float) -> tuple[int, list
     return passes, [t + m for t, m in zip(taken, more)]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 7) -> DataFrame:
-    """One row for each row of `docs`: id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of `docs`: id, source, size, source_size, target, taken, and the columns `keep`, which tell rows of one id apart.
 
     `taken` is the size times the passes in which the mix holds the document, at most `most`.  Null texts and texts
     of white space have size 0 and are never taken; null is a source of its own, last; repeated rows count
-    and are picked apart; an empty table gives no rows.  Sources are few by nature (they carry weights): one
+    and are picked apart; a text of any length counts whole; an empty table gives no rows.  Sources are few by nature (they carry weights): one
     (source, size) row for each reaches the driver.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), *keep)
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "id", "source", "size"), BUCKETS).cast("int"))
     sized = staged(sized, "mix-sizes")
     spark = docs.sparkSession
@@ -140,21 +140,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same &= F.col("a.bucket") == F.col("b.bucket")
     marked = sized.alias("a").join(cut.alias("b"), same).select("a.*", "passes", "held", "room")
     split = (F.col("room") > 0) & (F.col("room") < F.col("held"))
-    at = Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id")
-    whole = marked.filter(~split).select("id", "source", "size", (F.col("passes") + (F.col("room") > 0).cast("long")).alias("times"))
-    some = marked.filter(split).withColumn("rn", F.row_number().over(at)).select("id", "source", "size", (F.col("passes") + (F.col("rn") <= F.col("room")).cast("long")).alias("times"))
+    at = Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", *keep)
+    whole = marked.filter(~split).select("id", "source", "size", *keep, (F.col("passes") + (F.col("room") > 0).cast("long")).alias("times"))
+    some = marked.filter(split).withColumn("rn", F.row_number().over(at)).select("id", "source", "size", *keep, (F.col("passes") + (F.col("rn") <= F.col("room")).cast("long")).alias("times"))
     out = whole.unionByName(some)
     out = out.alias("a").join(F.broadcast(plan.alias("b")), F.col("a.source").eqNullSafe(F.col("b.source")))
-    return out.select("id", "a.source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return out.select("id", "a.source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), *keep)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """`docs` as the mix holds them: a document taken twice is there twice; columns unchanged.
+    """`docs` as the mix holds them: a document taken twice is there twice; columns unchanged, whatever their names.
 
-    Documents without words stay once, as they use no budget.  Ids that repeat among rows share one number of passes
-    (that of the row taken most often), so `id_col` should be unique, as it is after exact deduplication.
+    Documents without words, null texts included, stay once, as they use no budget.  Rows that share an id are taken one by one, by
+    their places in the table.  An empty table stays empty.
     """
-    taken = mix(docs, id_col, text_col, source_col, **options)
-    times = taken.groupBy(F.col("id").alias("_id")).agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1)).cast("int").alias("_times"))
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_id"])).filter("_times > 0")
-    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    rows, file, row = located(docs)
+    taken = mix(rows.select(F.col(id_col).alias("doc"), F.col(text_col).alias("words"), F.col(source_col).alias("from"), F.col(file).alias("_file"), F.col(row).alias("_row")), "doc", "words", "from", keep=("_file", "_row"), **options)
+    times, turn = unused(docs.columns, "_times"), unused(docs.columns, "_pass")
+    often = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    taken = taken.select(F.col("_file").alias(file), F.col("_row").alias(row), often.alias(times)).filter(F.col(times) > 0)
+    return rows.join(taken, [file, row]).withColumn(turn, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
