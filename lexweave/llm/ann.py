@@ -156,7 +156,10 @@ def calibrated(cands: DataFrame, queries: DataFrame, curves: Curves, k: int) ->
         for batch in batches:
             v = matrix(batch.column(0), dim)
             s = q @ v.T
-            s[(q[:, None, :] == v[None, :, :]).all(2)] = -np.inf if len(v) < 2 else s.min()
+            low = -np.inf if len(v) < 2 else s.min()
+            for i in range(len(q)):  # a probe's own point does not count
+                alike = np.flatnonzero(v[:, 0] == q[i, 0])
+                s[i, alike[(v[alike] == q[i]).all(1)]] = low
             top = np.argsort(-s, axis=1)[:, :k]
             held.append((np.take_along_axis(s, top, 1), curves.places(v, False)[top]))
             if len(held) > 8:
@@ -245,12 +248,13 @@ def ordering(cands: DataFrame, queries: DataFrame, curves: Curves, curve: int, b
     return ranged.mapInArrow(cut, "curve int, part int, i int, n long, vectors binary, ids binary, sizes binary, query_ids binary, query_vectors binary")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves_used: int | None = None, window: int | None = None, most_in_block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates found with the largest inner product, nearest first, ties to the smaller id.
 
     Candidates are all rows of `vectors` but the query's own id.  Null, empty and zero vectors, vectors with a null or
     non-finite component, rows without id, and vectors of another than the most frequent dimension (ties: the larger) take
-    no part.  Rows that repeat an id and a vector count once.  A query without other candidates returns no rows.
+    no part.  Rows that repeat an id and a vector count once.  A query without other candidates returns no rows; an empty table gives none;
+    other columns are not read.  `curves_used` and `window` (points to either side) are measured unless both are given.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -263,8 +267,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
     raw = F.size("v") == dim
     cands = staged(points(vectors.filter(raw), dim, k), "ann-points")
     asked = staged(encoded(queries.filter(raw), dim).distinct(), "ann-queries")
-    m, wide, n = calibrated(cands, asked, curves, k)
-    block = int(min(BLOCK, max(256, wide // 4)))
+    m, wide = (curves_used, window) if curves_used and window else calibrated(cands, asked, curves, k)[:2]
+    block = int(min(most_in_block, max(256, wide // 4)))
     blocks = None
     for c in range(m):
         one = ordering(cands, asked, curves, c, block)
@@ -272,12 +276,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
     blocks = staged(blocks, "ann-blocks")
     order = Window.partitionBy("curve").orderBy("part", "i")
     begins = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slim = blocks.select("curve", "part", "i", "n").withColumns({"g": F.row_number().over(order), "begin": begins})
-    # Targets are the blocks that hold any point within the window of the block's queries.
-    slim = staged(slim, "ann-slim")
-    from_, to = slim.alias("f"), slim.alias("t")
-    pairs = from_.join(to, F.col("f.curve") == F.col("t.curve")).filter((F.col("t.begin") < F.col("f.begin") + F.col("f.n") + wide) & (F.col("t.begin") + F.col("t.n") > F.col("f.begin") - wide) & (F.col("t.n") > 0))
-    pairs = pairs.select(F.col("f.curve").alias("curve"), F.col("f.part").alias("part"), F.col("f.i").alias("i"), F.col("t.part").alias("tp"), F.col("t.i").alias("ti"))
+    slim = staged(blocks.select("curve", "part", "i", "n", (F.length("query_ids") > 0).alias("asks")).withColumn("begin", begins).withColumn("end", F.col("begin") + F.col("n")), "ann-slim")
+    # Targets are the blocks that hold any point within the window of the block's queries; both sides meet in cells of the order, each of
+    # which few blocks touch.
+    cell = max(wide, block)
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))).alias("cell")
+    low, high = F.col("begin") - wide, F.col("end") + wide
+    from_ = slim.filter("asks").select("curve", "part", "i", low.alias("low"), high.alias("high"), cells(low, high))
+    to = slim.filter("n > 0").select("curve", F.col("part").alias("tp"), F.col("i").alias("ti"), "begin", "end", cells(F.col("begin"), F.col("end") - 1))
+    pairs = from_.join(to, ["curve", "cell"]).filter("begin < high and end > low").select("curve", "part", "i", "tp", "ti").distinct()
     sides = blocks.filter(F.length("query_ids") > 0).select("curve", "part", "i", "query_ids", "query_vectors").join(pairs, ["curve", "part", "i"]).select("curve", F.col("tp").alias("part"), F.col("ti").alias("i"), "query_ids", "query_vectors")
     met = sides.join(blocks.select("curve", "part", "i", "vectors", "ids", "sizes"), ["curve", "part", "i"]).select("query_ids", "query_vectors", "vectors", "ids", "sizes")
 
