@@ -32,6 +32,8 @@ from .url_filter import url_host
 
 #: Hosts whose wrappers a task holds before it hands them on.
 HOSTS = 20_000
+#: Levels of elements that a page's tree has at most.
+DEPTH = 100
 #: Elements by what they do.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +44,8 @@ WORDS_OUT = set("""ad ads advert adverts advertisement advertising banner breadc
     gdpr masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion promoted recommend
     recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags taboola toolbar widget widgets""".split())
 WORDS_IN = set("article articlebody content entry main post story".split())
+#: Words that say nothing of what an element is for, beside one of WORDS_OUT in a compound class name.
+WORDS_NEUTRAL = set("area article articles bar block body bottom box btn button buttons center col column container content entry form group head header inner item items left link links list main outer page panel post posts reader right row section site slot story text title top unit user web wrap wrapper".split())
 #: Elements of text, which are never the content by themselves.
 BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure".split())
 #: An element of these closes an open paragraph.
@@ -60,25 +64,34 @@ class Node:
 
 
 def started(name: str, attributes: str) -> Node:
-    words, role, sig = set(), "", name
+    """An element by its name and attributes.
+
+    A class name (or id) leaves it out only as a whole: all its words must be known, and one of them of WORDS_OUT, so `ad-slot` and
+    `reader-comments` are left out, and `related-work` is not.
+    """
+    words, role, sig, unwanted = set(), "", name, False
     if attributes.strip():
         found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-        label = f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}"
-        words = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", label).lower()) if w}
+        for label in f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".split():
+            own = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", label).lower()) if w}
+            unwanted |= bool(own & WORDS_OUT) and own <= WORDS_OUT | WORDS_NEUTRAL
+            words |= own
         role = found.get("role", "").lower()
         sig = f"{name}.{'.'.join(sorted(words))}" if words else name
         sig += f"@{role}" if role in ("main", "article") else ""
-        if "hidden" in found:
-            return Node(name, sig, True, False)
     inside = name in ("article", "main") or role in ("main", "article") or bool(words & WORDS_IN)
-    out = name in LEFT_OUT or role in ROLES or bool(words & WORDS_OUT)
-    return Node(name, sig, out, inside)
+    return Node(name, sig, name in LEFT_OUT or role in ROLES or unwanted, inside)
 
 
 def parsed(page: str) -> Node:
-    """The tree of block elements; inline elements leave their text, a line break a space."""
+    """The tree of block elements; inline elements leave their text, a line break a space.
+
+    An element more than DEPTH deep is no node of its own, unless it is left out: its text belongs to the element around it, as a run
+    of its own.
+    """
     root = Node("html", "html", False, False)
     stack, at, text = [root], 0, []
+    deeper: list[tuple[str, int]] = []  # open elements that are no nodes, with the length of the stack around them
 
     def flush() -> None:
         if text:
@@ -87,6 +100,40 @@ def parsed(page: str) -> Node:
             if run:
                 stack[-1].children.append(run)
 
+    def cut(i: int) -> None:
+        del stack[i:]
+        while deeper and deeper[-1][1] > len(stack):
+            deeper.pop()
+
+    def opened(name: str, attributes: str) -> None:
+        if name in CLOSES_P and any(n.name == "p" for n in stack[1:]):
+            cut(max(i for i, n in enumerate(stack) if n.name == "p"))
+        for i in range(len(stack) - 1, 0, -1):
+            if name in ENDS.get(stack[i].name, ()):
+                cut(i)
+                break
+            if stack[i].name in ("ul", "ol", "table", "dl"):
+                break
+        node, empty = started(name, attributes), name in VOID or attributes.rstrip().endswith("/")
+        if name == "header" and not any(n.inside for n in stack):
+            node.out = True
+        if len(stack) <= DEPTH or node.out > stack[-1].out:
+            stack[-1].children.append(node)
+            if not empty:
+                stack.append(node)
+        elif not empty:
+            deeper.append((name, len(stack)))
+
+    def closed(name: str) -> None:
+        for j in range(len(deeper) - 1, -1, -1):
+            if deeper[j] == (name, len(stack)):
+                del deeper[j:]
+                return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name == name:
+                cut(i)
+                return
+
     while m := TOKEN.search(page, at):
         text.append(page[at : m.start()])
         at = m.end()
@@ -97,38 +144,19 @@ def parsed(page: str) -> Node:
         if name in ("html", "body"):
             if name == "body":
                 flush()
-                del stack[1:]
-            continue
-        if start is not None and name in RAW:
+                cut(1)
+        elif start is not None and name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
-            continue
-        if name in INLINE:
+        elif name in INLINE:
             if name == "br":
                 text.append(" ")
-            continue
-        flush()
-        if start is not None:
-            if name in CLOSES_P and any(n.name == "p" for n in stack[1:]):
-                at_p = max(i for i, n in enumerate(stack) if n.name == "p")
-                del stack[at_p:]
-            for i in range(len(stack) - 1, 0, -1):
-                if name in ENDS.get(stack[i].name, ()):
-                    del stack[i:]
-                    break
-                if stack[i].name in ("ul", "ol", "table", "dl"):
-                    break
-            node = started(name, m[3] or "")
-            if name == "header" and not any(n.inside for n in stack):
-                node.out = True
-            stack[-1].children.append(node)
-            if name not in VOID and not (m[3] or "").rstrip().endswith("/"):
-                stack.append(node)
         else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            flush()
+            if start is None:
+                closed(name)
+            else:
+                opened(name, m[3] or "")
     text.append(page[at:])
     flush()
     return root
@@ -142,29 +170,43 @@ def skeleton(node: Node) -> list:
 
 
 def squashed(nodes: list) -> list:
-    """`nodes` with neighbouring repeats of up to four elements folded into repeated groups."""
-    for k in (1, 2, 3, 4):
-        out, i = [], 0
-        while i < len(nodes):
-            key = [n[0] for n in nodes[i : i + k]]
-            j = i + k
-            while len(key) == k and key != ["#"] * k and [n[0] for n in nodes[j : j + k]] == key:
+    """`nodes` with neighbouring repeats folded into repeated groups, shorter groups first."""
+    tried = 0
+    while True:
+        last: dict[str, int] = {}
+        # A group can only be as long as the way from one of its elements to the next such element.
+        ways = set()
+        for i, n in enumerate(nodes):
+            ways.add(i - last.get(n[0], i))
+            last[n[0]] = i
+        tried = min((k for k in ways if k > tried), default=0)
+        if not tried:
+            return nodes
+        nodes = folded(nodes, tried)
+
+
+def folded(nodes: list, k: int) -> list:
+    """`nodes` with neighbouring repeats of `k` elements folded."""
+    keys, out, i = [n[0] for n in nodes], [], 0
+    while i < len(nodes):
+        key, j = keys[i : i + k], i + k
+        if keys[j : j + 1] == key[:1] and key != ["#"] * k:
+            while keys[j : j + k] == key:
                 j += k
-            if j - i < 2 * k:
-                out.append(nodes[i])
-                i += 1
-                continue
-            group = nodes[i : i + k]
-            for at in range(i + k, j, k):
-                group = [merged(a, b) for a, b in zip(group, nodes[at : at + k])]
-            if k == 1:
-                group[0][1] = True
-                out.append(group[0])
-            else:
-                out.append(["*", True, False, group])
-            i = j
-        nodes = out
-    return nodes
+        if j - i < 2 * k:
+            out.append(nodes[i])
+            i += 1
+            continue
+        group = nodes[i : i + k]
+        for at in range(i + k, j, k):
+            group = [merged(a, b) for a, b in zip(group, nodes[at : at + k])]
+        if k == 1:
+            group[0][1] = True
+            out.append(group[0])
+        else:
+            out.append(["*", True, False, group])
+        i = j
+    return out
 
 
 def merged(a: list, b: list) -> list:
@@ -354,8 +396,9 @@ def plans(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars): one row for each row of `pages`.
 
-    Null, empty and unclosed html give what text there is, or ''.  Urls without a host share the wrapper of the empty host.  Repeated
-    rows are all extracted; an empty table gives no rows.
+    Null, empty and unclosed html give what text there is, or ''.  Urls without a host, null ones included, share the wrapper of the empty
+    host.  Repeated rows are all extracted, and count once for what is template; pages of any length and nesting are read whole.  Where two
+    places hold as much text, the one that comes first in the wrapper wins.  An empty table gives no rows; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     held = staged(plans(rows), "html-plans")
