@@ -16,39 +16,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by URL_RULES; null, malformed and repeated urls as `url_filter.judge_urls` says."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its group; nulls, ties and repeated rows as `exact_dedup.exact_groups` says."""
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weak label, score and class by a scorer fitted on these documents; nulls and empty tables as `quality.fit` and `quality.classified` say."""
     docs = table(spark, sf_dir, "documents")
     return quality.classified(docs, quality.fit(docs)).withColumnRenamed("id", "doc_id")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without what earlier ones hold; nulls, ties and repeated rows as `substring_dedup.drop_repeats` says."""
     return substring_dedup.drop_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all; invalid vectors, ties and empty tables as `ann.nearest_neighbours` says."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null, empty, unclosed and repeated pages as `html_extract.extract` says."""
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes; nulls, repeated rows and empty tables as `mixing.mix` says."""
     taken = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and offset; nulls, empty texts and empty tables as `packing.token_pieces` and `packing.pack` say."""
     import public_tokenizers
 
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -56,11 +64,13 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies; nulls, repeated ids and empty tables as `near_dedup.near_classes` says."""
     found = near_dedup.near_classes(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id").withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back; nulls, repeated rows and empty tables as `warc.write_archives` and `warc.read_records` say."""
     folder = warc.archive_folder(spark)
     index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_records(index, folder).drop("url", "payload")
