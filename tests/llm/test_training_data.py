@@ -1,7 +1,10 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
 import collections
+import glob
+import gzip
 import hashlib
+import math
 import re
 import zlib
 
@@ -10,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import ann, components, exact_dedup, html_extract, mixing, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from lexweave.llm import ann, components, exact_dedup, html_extract, mixing, near_dedup, packing, quality, staging, substring_dedup, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, host string, size long"
 
@@ -45,10 +48,28 @@ def test_url_filter(spark):
         best = max(fits, default=(0, 0, None, "allow"))
         want[(i, host, path, best[2], best[3])] += 1
     assert got == want
+    clash = pages.select("page_id", "url", *(F.lit("x").alias(c) for c in ("_key", "_stack", "key", "group", "stack", "part", "n")))
+    assert url_filter.judge_urls(clash, spark.createDataFrame(rules, "host string, path string, action string")).count() == len(urls)
     assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, action string")).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(pages, spark.createDataFrame([], "host string, path string, action string")).collect()} == {"allow"}
 
 
+def test_url_filter_against_brute_force(spark):
+    """Nested hosts and nested paths, many rules of one host, long urls."""
+    rng = np.random.default_rng(5)
+    labels, parts = ["a", "b", "aa", "a-b"], ["", "/", "/x", "/x/", "/x/y", "/xy", "/x/y/z/", "/é"]
+    host = lambda n: ".".join(rng.choice(labels, rng.integers(1, n + 1)))
+    rules = list({(host(3), str(rng.choice(parts))): None for _ in range(60)})
+    rules = [(h, p, str(rng.choice(["allow", "block"]))) for h, p in rules] + [("deep.a", f"/{'p' * k}", "block") for k in range(1, 60)]
+    urls = [f"http://{host(5)}{rng.choice(parts)}{rng.choice(['', 'q', '/r', '?s'])}" for _ in range(300)] + [f"https://x.deep.a/{'p' * k}" for k in range(70)] + [f"http://{'l.' * 400}a/{'x/' * 5000}"]
+    found = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string"))
+    got = {r.page_id: (r.rule, r.verdict) for r in found.collect()}
+    for i, u in enumerate(urls):
+        h, p = re.match(r"^.*?://([^/?#]*)([^?#]*)", u).groups()
+        best = max(((len(a + b), len(a), a + b, v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)), default=(0, 0, None, "allow"))
+        assert got[i][0] == best[2] and (got[i][1] == best[3] or (best[0], best[1]) in [(len(a + b), len(a)) for a, b, v in rules if a + b == best[2] and v != best[3]]), u
+
+
 # 2
 
 
@@ -74,6 +95,26 @@ def test_exact_dedup(spark, weak):
     assert exact_dedup.exact_groups(docs_of(spark, []), digest=digest).count() == 0
 
 
+def test_exact_dedup_of_other_tables(spark, tmp_path):
+    rows = [(1, "a b", "u"), (2, "ab", "v"), (3, "c", "w")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _file string").withColumn("_row", F.lit(7))
+    for form in ("csv", "json", "parquet"):
+        frame.write.format(form).option("header", True).save(f"{tmp_path}/{form}")
+        docs = spark.read.option("header", True).format(form).load(f"{tmp_path}/{form}")
+        assert {(r.id, r.keep_id, r.kept) for r in exact_dedup.exact_groups(docs).collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)}
+        kept = exact_dedup.drop_exact(docs)
+        assert kept.columns == docs.columns and {r._file for r in kept.collect()} == {"u", "w"}
+
+
+def test_sieve_loses_nothing(spark):
+    rows = spark.range(5000).select(F.col("id").alias("a"), F.col("id").cast("string").alias("_slot"))
+    keys = rows.filter("a % 7 = 0").select("a")
+    for bits in (15, 17, 25):
+        got = {r.a for r in staging.sieved(rows, keys, ["a"], bits).collect()}
+        assert got >= set(range(0, 5000, 7)) and len(got) < 1500
+    assert staging.sieved(rows, keys.limit(0), ["a"]).count() == 0 and staging.sieved(rows, keys, ["a"]).columns == rows.columns
+
+
 # 3
 
 
@@ -94,11 +135,38 @@ def test_quality(spark):
     assert quality.classified(docs.limit(0), empty).count() == 0
 
 
-def test_estimate_finds_bad_patterns():
-    votes = [[1] * 8, [0, 1, 1, 1, 1, 1, 0, 1], [2] * 8]
-    codes = np.array(sorted(int("".join(map(str, v)), 3) for v in votes))
-    p = quality.estimate(codes, np.array([50, 900, 50]) if codes[1] == int("1" * 8, 3) else np.array([60, 900, 40]))
-    assert p[np.searchsorted(codes, int("1" * 8, 3))] > 0.9 and p[np.searchsorted(codes, int("01111101", 3))] < 0.1
+def test_estimate_against_plain_loops():
+    """Expectation-maximisation by dictionaries, document by document; patterns that were never seen get a posterior too."""
+    rng, k = np.random.default_rng(2), len(quality.LABELLERS)
+    docs = [[(0 if rng.random() < 0.8 else 1) if bad else (1 if rng.random() < 0.9 else 0) if rng.random() < 0.7 else 2 for _ in range(k)] for bad in rng.random(60) < 0.3]
+    codes = [int("".join(map(str, v)), 3) for v in docs]
+    seen, counts = np.unique(codes, return_counts=True)
+    found = quality.estimate(seen, counts, rounds=15)
+    p = [0.1 if 0 in v else 0.9 for v in docs]
+
+    def posterior(v, prior, share):
+        like = [math.log(prior[c]) + sum(math.log(share[c][j][x]) for j, x in enumerate(v) if x != 2) for c in (0, 1)]
+        return 1 / (1 + math.exp(like[0] - like[1]))
+
+    for _ in range(15):
+        weight = [[1 - q for q in p], p]
+        prior = [sum(w) + 1 for w in weight]
+        share = [[{x: (sum(w for w, v in zip(weight[c], docs) if v[j] == x) + 0.1) / (sum(weight[c]) + 0.3) for x in range(3)} for j in range(k)] for c in (0, 1)]
+        before, p = p, [posterior(v, prior, share) for v in docs]
+        if max(abs(a - b) for a, b in zip(p, before)) < 1e-9:
+            break
+    assert np.allclose(found(np.array(codes)), p, atol=1e-6)
+    for code in (0, 3**k - 1, 5, 777, int("1" * k, 3)):
+        v = [code // 3 ** (k - 1 - j) % 3 for j in range(k)]
+        assert abs(found(np.array([code]))[0] - posterior(v, prior, share)) < 1e-6
+    assert quality.estimate(np.zeros(0, np.int64), np.zeros(0))(np.array([4]))[0] == 0.5
+
+
+def test_model_holds_for_other_tables(spark):
+    good = docs_of(spark, [(i, " ".join(words(60, i).capitalize() + "." for _ in range(2)), "s") for i in range(30)])
+    model = quality.fit(good.unionByName(docs_of(spark, [(100 + i, words(40, i).upper().replace(" ", "!! "), "s") for i in range(10)])))
+    other = docs_of(spark, [(1, "## $$ || %% !!! ABC ABC ABC", "s"), (2, words(60, 1000).capitalize() + ".", "s"), (3, "| " * 400, "s")])
+    assert sorted(r.id for r in quality.classified(other, model).collect()) == [1, 2, 3]
 
 
 # 4
@@ -121,6 +189,45 @@ def test_substring_dedup(spark):
     assert substring_dedup.drop_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_substring_dedup_against_brute_force(spark):
+    """Every unit compared with every earlier one, over texts of few sentences, long marks and lines."""
+    rng = np.random.default_rng(11)
+    made = [" ".join(rng.choice(["aa", "bb", "É", "cc"], rng.integers(1, 5))).capitalize() + str(rng.choice([".", "!", "...", "", "." * 90 + "(" * 70])) for _ in range(12)]
+    rows = [(i, str(rng.choice(["", "\n ", "«" * 80])) + str(rng.choice([" ", "\n"])).join(rng.choice(made, rng.integers(0, 7))), "s") for i in range(60)]
+    word = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
+
+    def units(text):
+        out, last = [], None
+        for m in word.finditer(text):
+            gap = text[last.end() : m.start()] if last else ""
+            blank = bool(last) and text[m.start() - 1] in " \t\n\r\x0b\x0c"
+            if last is None or "\n" in gap or (blank and (any(c in gap for c in ".!?") or (m[0][0].isupper() and not last[0][0].isupper()))):
+                begin = m.start()
+                while begin and text[begin - 1] not in " \t\n\r\x0b\x0c" and not word.match(text[begin - 1]):
+                    begin -= 1
+                out.append([begin, []])
+            out[-1][1].append(m[0].lower())
+            last = m
+        return out
+
+    first, want = {}, {}
+    for i, text, _ in rows:
+        own = units(text)
+        ends = [b for b, _ in own[1:]] + [len(text)]
+        again = [first.setdefault(tuple(w), (i, k)) != (i, k) for k, (_, w) in enumerate(own)]
+        spans, k = [], 0
+        while k < len(own):
+            j = k
+            while j < len(own) and again[j]:
+                j += 1
+            if j > k and sum(len(w) for _, w in own[k:j]) >= 6:
+                spans.append((own[k][0], ends[j - 1], first[tuple(own[k][1])][0]))
+            k = max(j, k + 1)
+        want[i] = spans
+    got = {r.id: [tuple(x) for x in r.removed] for r in substring_dedup.drop_repeats(docs_of(spark, rows), min_words=6).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
 # 5
 
 
@@ -155,6 +262,31 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_curves_narrow_the_search_on_vectors_with_structure(spark):
+    """Vectors near a plane: windows stay small, and what several shifted curves find together is more than any finds alone."""
+    rng = np.random.default_rng(9)
+    v = np.column_stack([rng.standard_normal((4000, 2)) * 3, rng.standard_normal((4000, 6)) * 0.05])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    score = v[::50] @ v.T
+    score[np.arange(80), np.arange(0, 4000, 50)] = -np.inf
+    want = [set(np.argsort(-s)[:20].tolist()) for s in score]
+
+    def recall(**options):
+        got = collections.defaultdict(set)
+        for r in ann.nearest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"), **options).collect():
+            got[r.query_id].add(r.vec_id)
+        return sum(len(got[50 * i] & want[i]) for i in range(80)) / 1600
+
+    alone, together = (recall(curves_used=m, window=60, most_in_block=64) for m in (1, 4))
+    assert together >= 0.9 and together > alone + 0.02
+    curves = ann.Curves(8, 1.0)
+    cands, asked = ann.points(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 8, 20), ann.encoded(vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 8)
+    m, wide, n = ann.calibrated(cands, asked, curves, 20)
+    assert n == 4000 and m * 2 * wide < 0.5 * n
+    assert recall() >= 0.9
+
+
 # 6
 
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li><li>Two</li></ul></nav>%s<footer>f</footer>'
@@ -166,6 +298,25 @@ def test_html_blocks():
     assert html_extract.main_text("") == "" and html_extract.main_text("<p>a<p>b") == "a\n\nb" and html_extract.main_text("<div") == "<div"
 
 
+def test_class_names_leave_out_as_a_whole():
+    body = '<article><p>One</p><section class="related-work"><p>Two</p></section><div class="tags-explained">Three</div><p hidden>Four</p><div class="ad-slot">no</div><div class="readerComments"><p>no</p></div><div class="related posts">no</div></article>'
+    assert html_extract.main_text(body) == "One\n\nTwo\n\nThree\n\nFour"
+
+
+def test_deep_pages_are_read_whole():
+    for n in (90, 900, 6000):
+        page = "<div>" * n + "<p>In</p><form>no<div>no</div></form><ul><li>a<li>b</ul>" + "</div>" * n + "<p>out</p>"
+        assert html_extract.main_text(page) == "In\n\na\n\nb\n\nout", n
+        html_extract.merged(html_extract.skeleton(html_extract.parsed(page)), html_extract.skeleton(html_extract.parsed(page.replace("<p>", "<h2>"))))
+    assert html_extract.main_text("<p>x</p>" * 5000).count("x") == 5000
+
+
+def test_long_repeated_groups_are_folded():
+    group = "".join(f"<h{k}>x</h{k}>" for k in range(1, 7))
+    top = html_extract.skeleton(html_extract.parsed(f"<div>{group * 5}</div>"))[3][0][3]
+    assert len(top) == 1 and top[0][0] == "*" and len(top[0][3]) == 6
+
+
 def test_wrapper_finds_template_text(spark):
     pages = [(i, f"http://h.example/{i}", PAGE % f"<div><span>Welcome to the site</span></div><div><h2>{words(3, i)}</h2>{''.join(f'<p>{words(30, i * 9 + k)}</p>' for k in range(2 + i % 3))}</div><div>Call us now</div>") for i in range(6)]
     odd = [(10, None, None), (11, "x", ""), (0, *pages[0][1:])]
@@ -254,6 +405,13 @@ def test_mix(spark):
     for source, rs in by.items():
         assert sum(r["size"] for r in rs) == rs[0].source_size and abs(sum(r.taken for r in rs) - rs[0].target) <= 1
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs).columns == docs.columns
+    # Rows that share an id are taken one by one, and clashing names do no harm.
+    same = docs.select(F.lit(1).cast("long").alias("doc_id"), "text", "source", F.lit(0).alias("_id"), F.lit(0).alias("_times"), F.lit(0).alias("_pass"), F.lit(0).alias("_file"))
+    held = mixing.mixed(same)
+    assert held.columns == same.columns
+    got = {r.source: r.n for r in held.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+    for source, rs in by.items():
+        assert abs(got.get(source, 0) - rs[0].target) <= 1
 
 
 # 8
@@ -440,6 +598,9 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert got == want
     some = warc.read_records(index.filter("page_id = 3"), f"file://{tmp_path}").collect()
     assert len(some) == 1 and bytes(some[0].payload).decode() == "é" * 3000
+    raw = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/*.warc.gz"))
+    heads = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert len(heads) == len(set(heads)) == len(pages) == raw.count(b"HTTP/1.1 200 OK") and set(re.findall(rb"WARC-Refers-To: (\S+)", raw)) <= set(heads)
     assert warc.read_records(warc.write_archives(frame.limit(0), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").count() == 0
 
 
