@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, pieces, shingle_counts, word_hashes
-from .staging import staged
+from .staging import sieved, staged
 
 FLOOR = 0.01
 ROWS, BANDS = 3, 14
@@ -279,7 +279,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = members.filter("length(bands) > 0").select("rep", "bands").mapInArrow(banded, "bucket long, id long")
     shared = staged(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
     entries = staged(entries.join(shared, "bucket").select("bucket", "id", "n"), "near-entries")
-    asked = docs.join(entries.select("id").distinct(), "id").groupBy("id").agg(F.max_by("text", "pick").alias("text"))
+    asked = entries.select("id").distinct()
+    asked = sieved(docs, asked, ["id"]).join(asked, "id").groupBy("id").agg(F.max_by("text", "pick").alias("text"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
