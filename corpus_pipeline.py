@@ -45,6 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each on what the one before kept.
+
+    Null, empty and wordless texts go in the first stage; of texts with the same words one stays, whatever their ids; rows that share an id
+    but not the text are mixed one by one and packed apart; an empty table gives no rows; other columns stay until the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
