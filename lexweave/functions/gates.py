@@ -10,34 +10,8 @@ from pyspark.sql import functions as F
 from ..plans import profiles as P
 from . import text as T
 
-# Word lists of the gates.
-GLUED_SERVICE = "в во на не ни о об обо по за до к ко с со из от их".split()
-PHRASE_JOININGS = (("по", "новому", "по-новому"), ("в", "виду", "ввиду"), ("мини", "футбол", "мини-футбол"))
-PRESIDENT_NEXT = ("рф", "российской")
-COMMA_SERVICE = "в во на к ко с со от до из за по при для без у о об обо".split()
-MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
-DICTIONARY_LIKE = ("dictionary", "keyboard", "orthographic", "mined")
-ENTITY_PREVIOUS = "город городе города городу деревня деревне житель жителя жительница жители имени крае области поселке поселок посёлке посёлок районе республике селе словам улица улице".split()
-ENTITY_NEXT = ("области", "края", "района", "улицы")
-INFINITIVE_CUES = "может могут будет будут должен должна должно должны нужно надо риск риске чтобы".split()
-FOREIGN_DOUBLES = ("ьь", "ъъ", "йй", "ёё")
-ADJECTIVE_ENDINGS = "ых их ого его ому ему ым им ыми ими ой ую юю".split()
-VERB_ENDINGS = "л ла ло ли ет ют ит ят ется ются ем им ете ите".split()
-PARTICIPLE_ENDINGS = "вший вшая вшее вшие нный нная нное нные енный енная енное енные емый емая емое емые ющий ющая ющее ющие ший шая шее шие тый тая тое тые".split()
-INTRODUCTORY = "пожалуй наверное конечно возможно вероятно однако например".split()
-REPORTED = "сообщалось сообщается сообщили сообщил сообщила сообщают сообщает".split()
-SPEECH_VERBS = """утверждают утверждалось заявил заявила заявили заявляет заявляют добавил добавила добавили подтвердил подтвердила подтвердили ответил ответила ответили
-    выразил выразила выразили подчеркнул подчеркнула подчеркнули спрашивает сказал сказала сказали понимают слушают сожалею""".split()
-FIXED_NEXT = "или чтобы самого самой самое самые стоит времени".split()
-FIXED_PAIRS = (
-    ("башни", "не"), ("подвал", "не"), ("словом", "не"), ("прессы", "не"), ("тем", "не"), ("античности", "геммы"), ("очередь", "министр"), ("образом", "биржа"), ("мотивация", "была"), ("почерковеды", "работали"),
-    ("значит", "возраст"), ("работаешь", "сейчас"), ("ответьте", "мне"), ("выяснялись", "отношения"), ("контекст", "достаточно"), ("средство", "освоения"), ("руставели", "их"),
-)
-PREPOSITIONS = "на с со в во по при для о об обо у к ко от до из за".split()
-DESCRIPTOR_ENDINGS = "ен на но ны ый ий ая ое ые".split()
-
-
-def ends_with(word: Column, endings: list[str] | tuple[str, ...]) -> Column:
+
+def ends_with(word: Column, endings: tuple[str, ...]) -> Column:
     return word.rlike(f"(?:{'|'.join(endings)})$")
 
 
@@ -50,15 +24,15 @@ def pair_in(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
 
 
 def adjective_like(norm: Column) -> Column:
-    return (F.length(norm) >= 5) & ends_with(norm, ADJECTIVE_ENDINGS)
+    return (F.length(norm) >= 5) & ends_with(norm, P.ADJECTIVE_ENDINGS)
 
 
 def finite_verb(norm: Column) -> Column:
-    return (F.length(norm) >= 5) & ends_with(norm, VERB_ENDINGS)
+    return (F.length(norm) >= 5) & ends_with(norm, P.VERB_ENDINGS)
 
 
 def participle(norm: Column) -> Column:
-    return ends_with(norm, PARTICIPLE_ENDINGS)
+    return ends_with(norm, P.PARTICIPLE_ENDINGS)
 
 
 def protected_next(word: Column) -> Column:
@@ -68,7 +42,7 @@ def protected_next(word: Column) -> Column:
 def looks_synthetic(word: Column) -> Column:
     """Two or more doubled letters, or a double that no word has (yo is folded first)."""
     norm = T.normalize_word(word)
-    return (F.length(norm) >= 5) & ((F.regexp_count(norm, F.lit(r"(.)(?=\1)")) >= 2) | norm.rlike("|".join(FOREIGN_DOUBLES)))
+    return (F.length(norm) >= 5) & ((F.regexp_count(norm, F.lit(r"(.)(?=\1)")) >= 2) | norm.rlike("|".join(P.FOREIGN_DOUBLES)))
 
 
 def protected_source(word: Column, freq: Column) -> Column:
@@ -78,8 +52,8 @@ def protected_source(word: Column, freq: Column) -> Column:
 
 def entity_context(word: Column, prev: Column, following: Column) -> Column:
     before, after, norm = T.normalize_word(prev), T.normalize_word(following), T.normalize_word(word)
-    near = T.is_title(word) & (T.is_title(prev) | T.is_title(following) | after.isin(*ENTITY_NEXT))
-    return ((before == "по") & (norm == "словам")) | before.isin(*ENTITY_PREVIOUS) | near
+    near = T.is_title(word) & (T.is_title(prev) | T.is_title(following) | after.isin(*P.ENTITY_NEXT))
+    return ((before == "по") & (norm == "словам")) | before.isin(*P.ENTITY_PREVIOUS) | near
 
 
 def name_context(source: Column, prev: Column, following: Column) -> Column:
@@ -113,6 +87,24 @@ def one_osa(a: Column, b: Column) -> Column:
     return (a != b) & (F.coalesce(F.levenshtein(a, b, 1), F.lit(-1)) == 1) | transposed(a, b)
 
 
+def first_swap(a: Column, b: Column) -> Column:
+    """Where two words first differ, two neighbours changed places, and what follows is at optimal string alignment distance 1."""
+    least = F.least(F.length(a), F.length(b))
+    at = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), True).cast("int")
+    crossed = (F.substring(a, at, F.lit(1)) == F.substring(b, at + 1, F.lit(1))) & (F.substring(a, at + 1, F.lit(1)) == F.substring(b, at, F.lit(1)))
+    rest = [F.substring(w, at + 2, F.length(w)) for w in (a, b)]
+    return (at > 0) & (at < least) & crossed & one_osa(*rest)
+
+
+def two_osa(a: Column, b: Column) -> Column:
+    """Optimal string alignment distance of exactly 2.
+
+    Two edits without a swap are Levenshtein distance 2; of two edits with one, the swap is the first edit from the left or from the right.
+    """
+    far = first_swap(a, b) | first_swap(F.reverse(a), F.reverse(b))
+    return F.coalesce(F.when(F.levenshtein(a, b, 2) == 2, ~transposed(a, b)).when(F.levenshtein(a, b, 4) >= 3, far), F.lit(False))
+
+
 def word_reason(row: dict[str, Column], thresholds: dict[str, float], skip_context: bool = True, min_dictionary_score: float = 0.0, context_margin: Column | None = None) -> Column:
     """Why a candidate may not replace its source, '' if it may.
 
@@ -124,7 +116,7 @@ def word_reason(row: dict[str, Column], thresholds: dict[str, float], skip_conte
     norm, cand = T.normalize_word(source), T.normalize_word(text)
     n, rank = F.length(norm), F.greatest(g("rank"), F.lit(0))
     known, latin, upper, lower = g("known") | g("morph"), T.has_latin(source), T.is_upper(source), F.lower(source) == source
-    like, entity, protected = kind.isin(*DICTIONARY_LIKE), g("entity"), g("protected")
+    like, entity, protected = kind.isin(*P.DICTIONARY_LIKE), g("entity"), g("protected")
     two_words = F.contains(text, F.lit(" "))
     near = (distance == 1) | ((distance == 2) & (n >= 8))
     no_context = F.lit(context_margin is None)
@@ -144,10 +136,10 @@ def word_reason(row: dict[str, Column], thresholds: dict[str, float], skip_conte
     title_dictionary = like & (conf >= 0.995) & (F.lit(skip_context) | (~no_context & (context >= 0.75))) & ~name_context(source, prev, following) & ~entity & ~two_words & title(source) & ~upper & title(text) & ~T.is_upper(text)
     parts = F.split(text, " ")
     first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    rest = F.substring(source, 2, 1 << 20)
+    rest = F.substring(source, F.lit(2), F.length(source))
     title_split = (kind == "split") & (prev == "") & title(source) & ~upper & (F.lower(rest) == rest) & ~latin & ~T.has_latin(text) & (F.size(parts) == 2) & title(first) & ~T.is_upper(first) & (F.lower(second) == second)
     collapses = (following != "") & (cand == T.normalize_word(F.concat(source, following)))
-    joining = F.concat_ws("|", norm, T.normalize_word(following), cand).isin(["|".join(x) for x in PHRASE_JOININGS])
+    joining = F.concat_ws("|", norm, T.normalize_word(following), cand).isin(["|".join(x) for x in P.PHRASE_JOININGS])
 
     lexical = (
         F.when(entity, "entity_context_guard").when(protected, "protected_lexicon_word").when(like & drops_glued(norm, cand, two_words, g("left_known"), g("right_known")), "dictionary_drops_glued_service_token")
@@ -159,10 +151,10 @@ def word_reason(row: dict[str, Column], thresholds: dict[str, float], skip_conte
     case_rule = (kind == "rule") & (source != text) & (norm == cand)
     rules = (
         F.when((conf < thresholds["rule_action"]) | latin | upper, "low_rule_confidence_or_shape")
-        .when(case_rule, F.when((norm == "президент") & (text == "Президент") & ~T.normalize_word(following).isin(*PRESIDENT_NEXT), "president_case_context_guard").otherwise(""))
+        .when(case_rule, F.when((norm == "президент") & (text == "Президент") & ~T.normalize_word(following).isin(*P.PRESIDENT_NEXT), "president_case_context_guard").otherwise(""))
         .when(entity, "entity_context_guard").when(protected, "protected_lexicon_word").when((kind != "rule") & collapses & ~joining, "phrase_context_guard")
         .when((norm == "так") & (cand == "также") & (T.normalize_word(following) == "же"), "phrase_context_guard").when(name_context(source, prev, following), "name_context_guard")
-        .when(norm.endswith("ться") & cand.endswith("тся") & T.normalize_word(prev).isin(*INFINITIVE_CUES), "tsya_context_guard").otherwise("")
+        .when(norm.endswith("ться") & cand.endswith("тся") & T.normalize_word(prev).isin(*P.INFINITIVE_CUES), "tsya_context_guard").otherwise("")
     )
     return (
         F.when((kind == "original") | (text == source), "same_as_source")
@@ -182,9 +174,9 @@ def glued_parts(norm: Column, cand: Column) -> tuple[Column, Column]:
 
 def drops_glued(norm: Column, cand: Column, two_words: Column, left_known: Column, right_known: Column) -> Column:
     left, right = glued_parts(norm, cand)
-    doubled = (F.length(norm) >= 2) & (F.substring(norm, 1, 1) == F.substring(norm, 2, 1)) & (cand == F.substring(norm, 2, 1 << 20))
-    first = left.isin(*GLUED_SERVICE) & (F.length(left) >= 2) & (F.length(right) >= 3)
-    second = right.isin(*GLUED_SERVICE) & (F.length(right) >= 2) & (F.length(left) >= 5)
+    doubled = (F.length(norm) >= 2) & (F.substring(norm, 1, 1) == F.substring(norm, 2, 1)) & (cand == F.substring(norm, F.lit(2), F.length(norm)))
+    first = left.isin(*P.GLUED_SERVICE) & (F.length(left) >= 2) & (F.length(right) >= 3)
+    second = right.isin(*P.GLUED_SERVICE) & (F.length(right) >= 2) & (F.length(left) >= 5)
     pair = F.when(first, right_known).when(second, left_known).otherwise(False)
     return F.coalesce((norm != "") & (cand != "") & ~two_words & ~doubled & (F.length(cand) >= 5) & (F.length(norm) > F.length(cand)) & pair, F.lit(False))
 
@@ -192,7 +184,7 @@ def drops_glued(norm: Column, cand: Column, two_words: Column, left_known: Colum
 def comma_delete_guard(word: Column, following: Column) -> Column:
     after = T.normalize_word(following)
     return (
-        F.when(after == "", "").when(after.startswith("котор") | after.isin("что", "чтобы"), "comma_delete_clause_guard").when(after.isin(*INTRODUCTORY), "comma_delete_introductory_guard")
+        F.when(after == "", "").when(after.startswith("котор") | after.isin("что", "чтобы"), "comma_delete_clause_guard").when(after.isin(*P.INTRODUCTORY), "comma_delete_introductory_guard")
         .when(participle(after), "comma_delete_participle_guard").when(title(word) & title(following), "comma_delete_titlecase_list_guard").otherwise("")
     )
 
@@ -208,14 +200,14 @@ def comma_insert_guard(word: Column, following: Column) -> Column:
     rules = [
         (after == "", ""), ((w == "того") & (after == "чтобы"), fixed), (T.has_latin(word) | T.has_digit(following), "comma_insert_protected_token_guard"),
         (after.startswith("котор") | after.isin("что", "чтобы"), ""), (title(word) & finite_verb(after), "comma_insert_subject_predicate_guard"),
-        (w.isin(*REPORTED) & after.isin(*about, "ранее"), "comma_insert_after_reporting_verb_guard"), (w.isin("словам", "данным", "информации", "источника"), "comma_insert_source_phrase_guard"),
-        (w.isin("того", "тому") & after.isin(*FIXED_NEXT), fixed), (after == "же", fixed), (pair_in(w, after, FIXED_PAIRS), fixed), (w.isin(*SPEECH_VERBS), argument),
+        (w.isin(*P.REPORTED) & after.isin(*about, "ранее"), "comma_insert_after_reporting_verb_guard"), (w.isin("словам", "данным", "информации", "источника"), "comma_insert_source_phrase_guard"),
+        (w.isin("того", "тому") & after.isin(*P.FIXED_NEXT), fixed), (after == "же", fixed), (pair_in(w, after, P.FIXED_PAIRS), fixed), (w.isin(*P.SPEECH_VERBS), argument),
         (both("заявил заявила заявили заявляет заявляют", "сегодня вчера ранее тогда"), tail), (both("добавил добавила добавили", "он она они"), tail),
         (both("напомнил напомнила напомнили", "ей ему им о об обо"), argument), (both("рассказал рассказала рассказали", "женам жене мужу детям ему ей им"), argument),
         (both("спросил спросила спросили", "у"), argument), (both("договорился договорилась договорились", about), argument), (after == "также", "comma_insert_before_takzhe_guard"),
-        (after.isin(*PREPOSITIONS), "comma_insert_preposition_phrase_guard"), (adjective_like(after), "comma_insert_adjective_phrase_guard"),
+        (after.isin(*P.PREPOSITIONS), "comma_insert_preposition_phrase_guard"), (adjective_like(after), "comma_insert_adjective_phrase_guard"),
         ((F.length(after) >= 5) & ends_with(after, ("ть", "ти")), "comma_insert_infinitive_argument_guard"), (after.startswith("друг"), "comma_insert_descriptor_guard"),
-        (adjective_like(w) & (F.length(after) >= 4), "comma_insert_adjective_phrase_guard"), (ends_with(w, DESCRIPTOR_ENDINGS) & (F.length(after) >= 4), "comma_insert_descriptor_guard"),
+        (adjective_like(w) & (F.length(after) >= 4), "comma_insert_adjective_phrase_guard"), (ends_with(w, P.DESCRIPTOR_ENDINGS) & (F.length(after) >= 4), "comma_insert_descriptor_guard"),
     ]
     return reduce(lambda chain, rule: chain.when(*rule), rules[1:], F.when(*rules[0])).otherwise("")
 
@@ -224,9 +216,9 @@ def comma_recovery(word: Column, following: Column, is_final: Column, conf: Colu
     """The reason why a comma may go below the usual thresholds, '' if there is none."""
     w, after, source = T.normalize_word(word), T.normalize_word(following), T.strip(word)
     day = F.when(w.rlike(r"^\d{1,9}$"), w.try_cast("int"))
-    date = F.coalesce(day.between(1, 31), F.lit(False)) & after.isin(*MONTHS) & (conf >= 0.86) & (margin >= 0.70)
+    date = F.coalesce(day.between(1, 31), F.lit(False)) & after.isin(*P.MONTHS) & (conf >= 0.86) & (margin >= 0.70)
     return (
-        F.when(is_final | (source == "О") | protected_next(following), "").when(date, "safe_date_comma_delete_recovery").when(~w.isin(*COMMA_SERVICE) | (after == ""), "")
+        F.when(is_final | (source == "О") | protected_next(following), "").when(date, "safe_date_comma_delete_recovery").when(~w.isin(*P.COMMA_SERVICE) | (after == ""), "")
         .when((conf >= 0.985) & (margin >= 0.95), "safe_comma_delete_recovery").when((F.lower(source) == source) & (conf >= 0.95) & (margin >= 0.90), "safe_service_comma_delete_recovery").otherwise("")
     )
 

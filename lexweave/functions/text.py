@@ -165,14 +165,15 @@ def protected_gap(gap: Column, word: Column, next_word: Column) -> Column:
         | (colon & (has_digit(word) | has_digit(next_word)))
         | (has_digit(word) & has_digit(next_word))
     )
-    return (gap != "") & ~structural_label(gap) & inside
+    # Nearly all gaps are one space, of which only figures on both sides ask anything.
+    return F.when(gap == "", False).when(gap == " ", has_digit(word) & has_digit(next_word)).otherwise(~structural_label(gap) & inside)
 
 
 def gap_label(gap: Column, punct: Column, word: Column, next_word: Column) -> Column:
     """The label of a gap, '' where the gap is protected."""
     seen = F.when(gap == "", punct).otherwise(gap)
     label = canonical_label(seen)
-    return F.when(label.isin(*P.STRUCTURAL_LABELS) & ~untrainable(seen), label).when(protected_gap(seen, word, next_word), "").otherwise(label)
+    return F.when(seen.isin("", " "), "").when(label.isin(*P.STRUCTURAL_LABELS) & ~untrainable(seen), label).when(protected_gap(seen, word, next_word), "").otherwise(label)
 
 
 def simple_gap(gap: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 from pyspark.sql.functions import pandas_udf
 
+from ..functions import gates as G
 from ..functions import text as T
 
 OPCODES = K.ArrayType(K.StructType([K.StructField("op", K.StringType()), *(K.StructField(n, K.IntegerType()) for n in ("i1", "i2", "j1", "j2"))]))
@@ -24,7 +25,7 @@ def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
 @pandas_udf(K.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of two strings."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def slots_of(pairs: DataFrame, error_col: str = "error_text", correct_col: str = "correct_text") -> DataFrame:
@@ -132,8 +133,6 @@ def edit_keys(pairs: DataFrame, source_col: str, output_col: str, keys: list[str
 
 def mined_confusions(pairs: DataFrame, lex: DataFrame, min_count: int = 2, min_freq: int = 1, phrases: dict[str, tuple[str, ...]] | None = None, top: int = 8) -> DataFrame:
     """(source, target, count, place): words that pairs replace by one to three words, often enough and alike enough."""
-    from .fuzzy import bounded_osa
-
     words = lambda c: F.transform(T.word_tokens(F.col(c)), T.normalize_word)
     rows = pairs.select(words("error_text").alias("a"), words("correct_text").alias("b")).withColumn("o", F.explode(opcodes("a", "b")))
     rows = rows.filter((F.col("o.op") == "replace") & (F.col("o.i2") - F.col("o.i1") == 1) & (F.col("o.j2") - F.col("o.j1")).between(1, 3))
@@ -144,7 +143,7 @@ def mined_confusions(pairs: DataFrame, lex: DataFrame, min_count: int = 2, min_f
     found = found.join(freq.withColumnRenamed("norm", "target"), "target", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     allowed = F.concat_ws("|", "source", "target").isin([f"{k}|{v}" for k, vs in (phrases or {}).items() for v in vs] or ["\0"])
     ends = (F.substring("source", 1, 2) == F.substring("target", 1, 2)) & (F.substring("source", -2, 2) == F.substring("target", -2, 2))
-    single = found.filter(~F.contains("target", F.lit(" ")) & (F.col("freq") >= min_freq) & (F.abs(F.length("source") - F.length("target")) <= 2)).withColumn("d", bounded_osa("source", "target")).filter((F.col("d") <= 2) | ends).drop("d")
+    single = found.filter(~F.contains("target", F.lit(" ")) & (F.col("freq") >= min_freq) & (F.abs(F.length("source") - F.length("target")) <= 2)).filter(G.one_osa(F.col("source"), F.col("target")) | G.two_osa(F.col("source"), F.col("target")) | ends)
     phrase = found.filter(F.contains("target", F.lit(" ")) & allowed)
     from pyspark.sql import Window
 

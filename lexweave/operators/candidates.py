@@ -184,3 +184,32 @@ def candidates(words: DataFrame, lex: DataFrame, profile: Profile = RU, top: int
     merged = merged.filter(F.col("text") != F.col("word"))
     order = Window.partitionBy("word").orderBy(F.desc("score"), "ord")
     return merged.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < top).select("word", "norm", "text", "score", "b.source", "b.distance", "rank")
+
+
+def blocked_splits(words: DataFrame, lex: DataFrame, profile: Profile) -> DataFrame:
+    """(norm, blocked): how many ways to split each word the rules refuse as unsafe; a doubled first letter of a known word refuses it once."""
+    letters = words.filter((F.length("norm") >= 4) & ~T.has_digit(F.col("norm")))
+    if profile.split_endings:
+        letters = letters.filter(~F.col("norm").rlike(f"(?:{'|'.join(profile.split_endings)})$"))
+    rest = letters.filter(F.substring("norm", 1, 1) == F.substring("norm", 2, 1)).select("norm", F.expr("substring(norm, 2)").alias("_rest"))
+    doubled = rest.join(lex.select(F.col("norm").alias("_rest")), "_rest", "left_semi").select("norm", F.lit(1).cast("long").alias("blocked"))
+    points = split_points(letters.join(doubled, "norm", "left_anti"), lex, profile)
+    return points.groupBy("norm").agg(F.count_if("unsafe").alias("blocked")).unionByName(doubled)
+
+
+def best(found: DataFrame, least: float = 0.0) -> DataFrame:
+    """The first candidate of each word, if its score is at least `least`."""
+    return found.filter((F.col("rank") == 0) & (F.col("score") >= least))
+
+
+def should_check(words: DataFrame, lex: DataFrame, profile: Profile = RU, min_freq: int = 1) -> DataFrame:
+    """`words` (word) with checked: words of three letters or more that the lexicon does not know or that a rule is for."""
+    norm = T.normalize_word(F.col("word"))
+    rows = words.withColumns({"_norm": norm, "_rest": F.when(F.length(norm).between(4, 5) & (F.substring(norm, 1, 1) == F.substring(norm, 2, 1)), F.substring(norm, F.lit(2), F.length(norm)))})
+    known = lex.filter(F.col("freq") >= min_freq).select("norm")
+    rows = rows.join(known.select(F.col("norm").alias("_norm"), F.lit(True).alias("_known")), "_norm", "left").join(known.select(F.col("norm").alias("_rest"), F.lit(True).alias("_doubled")), "_rest", "left")
+    listed = F.col("_norm").isin([*profile.exact, *profile.phrase] or ["\0"])
+    holds = F.col("_norm").rlike("|".join(profile.substring)) if profile.substring else F.lit(False)
+    rule = listed | F.coalesce("_doubled", F.lit(False)) | holds
+    asked = (F.length("_norm") >= 3) & ~T.has_digit(F.col("_norm")) & T.is_word(F.col("word")) & (F.col("_known").isNull() | rule)
+    return rows.withColumn("checked", asked).select(*words.columns, "checked")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
 
 from ..functions import gates as G
 
@@ -28,29 +25,6 @@ def within_one(left: DataFrame, right: DataFrame, left_col: str = "norm", right_
     return a.join(b, "_key").filter(G.one_osa(F.col(left_col), F.col(right_col))).select(left_col, right_col).distinct()
 
 
-@pandas_udf(IntegerType())
-def bounded_osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Optimal string alignment distance of each pair, 3 if above 2."""
-    return pd.Series([_osa(x, y, 2) for x, y in zip(a, b)], dtype="int32")
-
-
-def _osa(a: str, b: str, most: int) -> int:
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, rows[-2][j - 2] + 1)
-            row.append(best)
-        if min(row) > most:
-            return most + 1
-        rows = [rows[-1], row]
-    return rows[-1][-1]
-
-
 def within_two(left: DataFrame, right: DataFrame, left_col: str = "norm", right_col: str = "cand") -> DataFrame:
     """(left, right, distance): pairs at optimal-string-alignment distance exactly 2, by keys of up to two deletions."""
 
@@ -59,8 +33,17 @@ def within_two(left: DataFrame, right: DataFrame, left_col: str = "norm", right_
 
     a = left.select(F.col(left_col), F.explode(twice(F.col(left_col))).alias("_key"))
     b = right.select(F.col(right_col), F.explode(twice(F.col(right_col))).alias("_key"))
-    pairs = a.join(b, "_key").select(left_col, right_col).distinct().filter(F.col(left_col) != F.col(right_col)).filter(F.levenshtein(left_col, right_col, 4) >= 0)
-    return pairs.withColumn("distance", bounded_osa(left_col, right_col)).filter("distance = 2")
+    pairs = a.join(b, "_key").select(left_col, right_col).distinct()
+    return pairs.filter(G.two_osa(F.col(left_col), F.col(right_col))).withColumn("distance", F.lit(2))
+
+
+def bucket_scan(words: DataFrame, ranked: DataFrame, most: int = 1, bucket: int = 5000) -> DataFrame:
+    """(norm, cand, distance): words of the length buckets (`ranked`: norm, bucket_rank) within `most` edits, 1 or 2, of each word."""
+    if most not in (1, 2):
+        raise ValueError("words are compared at one or two edits")
+    top = ranked.filter(F.col("bucket_rank") <= bucket).select(F.col("norm").alias("cand"))
+    found = within_one(words.select("norm"), top).withColumn("distance", F.lit(1))
+    return found.unionByName(within_two(words.select("norm"), top)) if most == 2 else found
 
 
 def splits(words: DataFrame, lex: DataFrame, col: str = "norm", least: int = 2) -> DataFrame:

@@ -27,6 +27,8 @@ PROFILES = {
     "mixed": {"words": (1, 3), "rate": 0.28, "punct": (1, 1), "orth": (0, 1), "struct": (0, 1)},
     "hard": {"words": (3, 5), "rate": 0.45, "punct": (1, 3), "orth": (1, 2), "struct": (1, 2)},
 }
+#: Weights of each number of spoilt words, from the least; even where a profile has none.
+WORD_COUNTS = {"spelling_medium": (0.55, 0.35, 0.10), "mixed": (0.55, 0.35, 0.10), "hard": (0.55, 0.30, 0.15)}
 CURRICULUM_TRAIN = {"spelling_light": 0.18, "spelling_medium": 0.16, "orthography_rules": 0.16, "punctuation_only": 0.18, "punctuation_structural": 0.18, "mixed": 0.10, "hard": 0.04}
 CURRICULUM_EVAL = {"spelling_light": 0.24, "spelling_medium": 0.13, "orthography_rules": 0.14, "punctuation_only": 0.25, "punctuation_structural": 0.16, "mixed": 0.06, "hard": 0.02}
 # The curated seed pairs.
@@ -142,14 +144,21 @@ def word_error(word: Column, kind: Column, n: Column) -> Column:
     """struct<word, label>, the first letter's case kept."""
     replaced = replace_char(word, n)
     made = F.when(kind == "replace", replaced["word"]).when(kind == "delete", delete_char(word, n)).when(kind == "swap", swap_chars(word, n)).when(kind == "double", double_char(word, n)).otherwise(extra_char(word, n))
-    made = F.when(T.is_upper(F.substring(word, 1, 1)), F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, 2, 1 << 20))).otherwise(made)
+    made = F.when(T.is_upper(F.substring(word, 1, 1)), F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))).otherwise(made)
     return F.struct(made.alias("word"), F.when(kind == "replace", replaced["label"]).otherwise(F.concat(F.lit("spelling_"), kind)).alias("label"))
 
 
-def word_errors(text: Column, key: Column, least: Column, most: Column, rate: Column, seed: int = 42) -> Column:
+def word_count(key: Column, least: Column, most: Column, shares: Column | None = None, seed: int = 42) -> Column:
+    """A number from `least` to `most`; `shares`: array of the shares up to each number, without which all are as likely."""
+    u = share(key, seed, "count")
+    even = F.floor(u * (most - least + 1)).cast("int")
+    return least + (even if shares is None else F.when(shares.isNull(), even).otherwise(F.least(F.size(F.filter(shares, lambda s: s <= u)), most - least)))
+
+
+def word_errors(text: Column, key: Column, least: Column, most: Column, rate: Column, seed: int = 42, shares: Column | None = None) -> Column:
     """struct<text, labels>: between `least` and `most` words of a text spoilt, at most `rate` of its words of three letters or more."""
     shape = rf"^([^{T.LETTER}]*)([{T.LETTER}]+)([^{T.LETTER}]*)$"
-    wanted = least + F.pmod(number(key, seed, "count"), F.greatest(most - least + 1, F.lit(1))).cast("int")
+    wanted = word_count(key, least, most, shares, seed)
 
     def able(words: Column) -> Column:
         places = F.transform(words, lambda w, i: F.when(w.rlike(shape) & (F.length(F.regexp_extract(w, shape, 2)) > 2), F.struct(number(key, seed, i, "order").alias("h"), i.alias("i"))))
@@ -213,22 +222,61 @@ def _first(*choices):
     return "|".join(f"(?:{pattern})" for pattern, _ in choices), op
 
 
+# Words around commas, and marks by name and by what they are mistaken for.
 CLAUSES = "что|чтобы|если|когда|который|которая|которое|которые|потому что|так как|хотя|поскольку"
 INTRODUCTORY = "конечно|однако|например|впрочем|значит|кстати|во-первых|во-вторых|наконец|вероятно|возможно|поэтому|следовательно"
 MARKS = {",": "comma", ".": "period", "?": "question", "!": "exclamation", ":": "colon", ";": "semicolon"}
 WRONG = {",": ".", ".": ",", "!": ".", "?": ".", ":": ";", ";": ":"}
 
-#: Punctuation operators by label with the weight of each; a label ending in `*` gets the mark's name.
+MARKED = r"(?iuU:(?<![,;:\s])\s+(?=(?:и|а|но|что|как|если|когда|или)\b))"
+
+
+def extra_comma(text: Column, n: Column) -> Column:
+    """A comma before a conjunction, or else in one of the inner gaps of four words or more."""
+    marked = replace_one(text, MARKED, n, lambda m: inside(m, r"(?U)\s+", ", "))
+    gaps = F.size(F.split(text, r"(?U)\s+", -1)) - 1
+
+    def inner(x: Column) -> Column:
+        at = 1 + F.pmod(n, F.greatest(x["k"] - 2, F.lit(1))).cast("int")
+        return F.array_join(F.transform(x["z"], lambda y, i: F.concat(F.coalesce(y["p"], F.lit("")), F.when(y["f"].isNull(), "").when(i == at, ", ").otherwise(y["f"]))), "")
+
+    parts = F.struct(F.arrays_zip(F.split(text, r"(?U)\s+", -1).alias("p"), F.regexp_extract_all(text, F.lit(r"(?U)\s+"), F.lit(0)).alias("f")).alias("z"), gaps.alias("k"))
+    return F.when(text.rlike(MARKED), marked).when(gaps > 2, T.let(parts, inner)).otherwise(text)
+
+
+def chosen(text: Column, pattern: str, n: Column) -> Column:
+    """The match of `pattern` that `replace_one` rewrites."""
+    return pick(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), n)
+
+
+def named(values: dict[str, str], mark: Column) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[mark]
+
+
+def _wrong_label(text: Column, n: Column) -> Column:
+    return named({m: f"punct_wrong_{MARKS[m]}_to_{MARKS[w]}" for m, w in WRONG.items()}, chosen(text, "[,.!?:;]", n))
+
+
+def _comma_label(text: Column, n: Column) -> Column:
+    return F.when(T.count_of(text, ",") == 1, "punct_remove_all_commas").otherwise("punct_remove_comma")
+
+
+def _remove_label(text: Column, n: Column) -> Column:
+    return named({m: f"punct_remove_{v}" for m, v in MARKS.items()}, chosen(text, "[,.!?:;]", n))
+
+
+#: Punctuation operators by label with the weight of each (how often the list of operators has it); a label that depends on the mark is
+#: made by the function that stands third.
 PUNCTUATION = {
-    "punct_wrong_period_to_comma": (4, _sub(r"\.(?=\s+[а-яё])(?=.*\S)", ",", r"\.")),
+    "punct_wrong_period_to_comma": (3, _sub(r"\.(?=\s+[а-яё])(?=.*\S)", ",", r"\.")),
     "punct_remove_comma_before_clause": (6, _sub(rf"(?iuU),\s+(?={CLAUSES}\b)".replace(CLAUSES, f"(?:{CLAUSES})"), " ", r"(?U),\s+")),
     "punct_remove_internal_comma": (2, _sub(r"(?U),(?=\s+\S)", "", ",")),
-    "punct_extra_comma": (6, _sub(r"(?iuU)(?<![,;:\s])\s+(?=(?:и|а|но|что|как|если|когда|или)\b)", ", ", r"(?U)\s+")),
+    "punct_extra_comma": (6, (rf"{MARKED}|(?U:\s+\S+\s+\S+\s+)", extra_comma)),
     "punct_remove_final": (4, _sub(r"(?U)[.?!…](?=\s*$)", "", r"[.?!…]")),
-    "punct_wrong_*": (2, ("[,.!?:;]", lambda text, n: replace_one(text, "[,.!?:;]", n, lambda m: F.translate(m, "".join(WRONG), "".join(WRONG.values()))))),
-    "punct_remove_comma": (2, _sub(",", "")),
+    "punct_wrong": (2, ("[,.!?:;]", lambda text, n: replace_one(text, "[,.!?:;]", n, lambda m: F.translate(m, "".join(WRONG), "".join(WRONG.values())))), _wrong_label),
+    "punct_remove_comma": (2, _sub(",", ""), _comma_label),
     "punct_remove_intro_comma": (1, _sub(rf"(?iuU)(?<=\b(?:{INTRODUCTORY})),\s+", " ", r"(?U),\s+")),
-    "punct_remove_*": (1, _sub("[,.!?:;]", "")),
+    "punct_remove": (1, _sub("[,.!?:;]", ""), _remove_label),
 }
 ORTHOGRAPHY = {
     "spelling_compound_joining": (1, _first(_word(r"(?iuU)\bпо[-‑]новому\b", "по новому"), _word(r"(?iuU)\bввиду\b", "в виду"), _word(r"(?iuU)\bжелезнодорожный\b", "железно-дорожный"), _word(r"(?iuU)\bмини[-‑]футбол\b", "мини футбол"))),
@@ -250,7 +298,7 @@ def one_operation(text: Column, operations: dict, key: Column, step: str | int,
     Only the operator that is chosen is computed.
     """
     tried = []
-    for i, (label, (weight, (pattern, _))) in enumerate(operations.items()):
+    for i, (label, (weight, (pattern, _), *_)) in enumerate(operations.items()):
         # A key of u ** (1 / weight) draws without replacement in proportion to the weights.
         rank = -F.pow(share(key, seed, step, label, "order"), F.lit(1.0 / weight))
         tried.append(F.when(text.rlike(pattern), F.struct(rank.alias("rank"), F.lit(i).alias("i"))))
@@ -258,9 +306,10 @@ def one_operation(text: Column, operations: dict, key: Column, step: str | int,
 
     def applied(i: Column) -> Column:
         made, names = F.when(i.isNull(), text), F.when(i.isNull(), F.lit(None).cast("string"))
-        for j, (label, (_, (_, op))) in enumerate(operations.items()):
-            made = made.when(i == j, op(text, number(key, seed, step, label)))
-            names = names.when(i == j, label[:-2] if label.endswith("*") else label)
+        for j, (label, (_, (_, op), *name)) in enumerate(operations.items()):
+            n = number(key, seed, step, label)
+            made = made.when(i == j, op(text, n))
+            names = names.when(i == j, name[0](text, n) if name else label)
         return F.struct(made.alias("text"), names.alias("name"))
 
     return T.let(T.let(best, applied), lambda x: F.struct(x["text"].alias("text"), F.when(x["text"] != text, x["name"]).alias("label")))
@@ -274,7 +323,9 @@ def inject(rows: DataFrame, text_col: str, key_cols: list[str], profile_col: str
         pairs = [x for p, v in PROFILES.items() for x in (F.lit(p), F.lit(v[part] if side is None else v[part][side]))]
         return F.create_map(*pairs)[F.col(profile_col)]
 
-    done = word_errors(F.col(text_col), key, of("words", 0), of("words", 1), of("rate"), seed)
+    sums = {p: [sum(w[: i + 1]) for i in range(len(w) - 1)] for p, w in WORD_COUNTS.items()}
+    shares = F.create_map(*(x for p, v in sums.items() for x in (F.lit(p), F.array(*(F.lit(s) for s in v)))))[F.col(profile_col)]
+    done = word_errors(F.col(text_col), key, of("words", 0), of("words", 1), of("rate"), seed, shares)
     rows = rows.withColumn("_e", done).withColumns({"error_text": F.col("_e.text"), "error_labels": F.col("_e.labels")})
     for part, operations, most in (("punct", PUNCTUATION, 3), ("orth", ORTHOGRAPHY, 2), ("struct", STRUCTURE, 2)):
         count = of(part, 0) + F.pmod(number(key, seed, part, "count"), of(part, 1) - of(part, 0) + 1).cast("int")

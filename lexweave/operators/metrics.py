@@ -9,9 +9,15 @@ from ..functions import text as T
 from ..plans import profiles as P
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Edit distance; texts that differ little, as most pairs do, are told by narrow bands of the matrix."""
+    band = lambda most: F.nullif(F.levenshtein(a, b, most), F.lit(-1))
+    return F.when(a == b, 0).otherwise(F.coalesce(band(4), band(32), F.levenshtein(a, b)))
+
+
 def cer(predicted: Column, target: Column) -> Column:
     """Character error rate; an empty target gives 0 for an empty prediction, else 1."""
-    return F.when(target == "", F.when(predicted == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(predicted, target) / F.length(target))
+    return F.when(target == "", F.when(predicted == "", 0.0).otherwise(1.0)).otherwise(distance(predicted, target) / F.length(target))
 
 
 def wer(predicted: Column, target: Column) -> Column:
@@ -22,21 +28,31 @@ def wer(predicted: Column, target: Column) -> Column:
 
 def punct_count_error(predicted: Column, target: Column) -> Column:
     """Sum over marks of the difference of their counts."""
-    total = F.lit(0)
-    for c in P.PUNCT_CHARS:
-        total = total + F.abs(T.count_of(predicted, c) - T.count_of(target, c))
-    return total
 
+    def counted(x: Column) -> Column:
+        total = F.lit(0)
+        for c in P.PUNCT_CHARS:
+            total = total + F.abs(T.count_of(x["a"], c) - T.count_of(x["b"], c))
+        return F.when(x["a"] == x["b"], 0).otherwise(total)
+
+    marks = F.struct(T.only(predicted, P.PUNCT_CHARS).alias("a"), T.only(target, P.PUNCT_CHARS).alias("b"))
+    return F.when(predicted == target, 0).otherwise(T.let(marks, counted))
+
+
+def analysis(rows: DataFrame, source: str = "error_text", target: str = "correct_text", predicted: str = "predicted_text", edits: str | None = None, word_edits: str | None = None, punct_edits: str | None = None) -> DataFrame:
+    """`rows` with input_cer, pred_cer, cer_delta (what the prediction gained) and the flags that summaries count.
 
-def analysis(rows: DataFrame, source: str = "error_text", target: str = "correct_text", predicted: str = "predicted_text", edits: str | None = None) -> DataFrame:
-    """`rows` with input_cer, pred_cer, cer_delta and the flags that summaries count."""
+    `edits`, `word_edits` and `punct_edits` name counts of edits; without the last two, words and marks of the texts are compared.
+    """
     s, t, p = F.col(source), F.col(target), F.col(predicted)
     out = rows.withColumns({"input_cer": cer(s, t), "pred_cer": cer(p, t)})
-    clean = F.col("input_cer") == 0
+    alike = lambda a, b: (a == b) | (T.strip(a) == T.strip(b))
+    clean, same = F.col("input_cer") == 0, alike(p, s)
     words = lambda c: F.transform(T.word_tokens(c, True), T.normalize_word)
     return out.withColumns({
-        "cer_delta": F.col("pred_cer") - F.col("input_cer"), "exact_match": T.strip(p) == T.strip(t), "improved": F.col("pred_cer") < F.col("input_cer"), "worse": F.col("pred_cer") > F.col("input_cer"),
-        "unchanged": p == s, "clean_overcorrection": clean & (p != s), "word_overcorrection": clean & (words(p) != words(t)), "punct_overcorrection": clean & (T.only(p, P.PUNCT_CHARS) != T.only(t, P.PUNCT_CHARS)),
+        "cer_delta": F.col("input_cer") - F.col("pred_cer"), "exact_match": alike(p, t), "improved": F.col("pred_cer") < F.col("input_cer"), "worse": F.col("pred_cer") > F.col("input_cer"),
+        "unchanged": same, "clean_overcorrection": clean & ~same, "word_overcorrection": clean & (F.col(word_edits) > 0 if word_edits else words(p) != words(t)),
+        "punct_overcorrection": clean & (F.col(punct_edits) > 0 if punct_edits else T.only(p, P.PUNCT_CHARS) != T.only(t, P.PUNCT_CHARS)),
         "layout_changed_without_edits": (p != s) & ((F.col(edits) == 0) if edits else F.lit(False)), "punct_count_error": punct_count_error(p, t),
     })
 
@@ -78,9 +94,9 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
 
 
-def worst(rows: DataFrame, key: str, n: int = 50) -> DataFrame:
+def worst(rows: DataFrame, key: list[str], n: int = 50) -> DataFrame:
     """The `n` rows whose error rate grew most."""
-    return rows.orderBy(F.desc("cer_delta"), key).limit(n)
+    return rows.orderBy("cer_delta", *key).limit(n)
 
 
 def edit_overlap(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:

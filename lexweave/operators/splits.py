@@ -36,6 +36,20 @@ def leak_free(rows: DataFrame, text_col: str = "text", train: float = 0.8, val:
     return ranked(texts, ["text"], seed).withColumn("split", split_of(F.col("place"), texts.count(), train, val)).drop("place")
 
 
+def fallback(rows: DataFrame, text_col: str = "correct_text", val: float = 0.1, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """`rows` with split: those of a table that has none, by distinct text, so that no text is in two; val ends at `val` of the texts, test at `test`."""
+    texts = rows.select(F.col(text_col).alias("_text")).filter("_text is not null").distinct()
+    n = texts.count()
+    marked = ranked(texts, ["_text"], seed).select("_text", F.when(F.col("place") < int(n * val), "val").when(F.col("place") < int(n * test), "test").otherwise("train").alias("split"))
+    return rows.join(marked, rows[text_col].eqNullSafe(marked["_text"]), "left").drop("_text").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def within_budget(rows: DataFrame, key: str, order: list[str], budget: int) -> DataFrame:
+    """`rows` whose key is among the first `budget` distinct keys, in the order of their first rows: a bound on searches, one for each key."""
+    first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_first")).orderBy("_first", key).limit(budget).select(key)
+    return rows.join(first, key, "left_semi")
+
+
 def hold_out(rows: DataFrame, key_cols: list[str], ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """`rows` with split val for max(1, round(n * ratio)) of them, train for the others."""
     n = rows.count()
@@ -61,9 +75,11 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def cross_pairs(rows: DataFrame, text_col: str = "text", limit: int = 1000) -> DataFrame:
-    """All ordered pairs of different texts of a sample table of at most `limit` rows."""
-    small = rows.select(text_col).limit(limit)
+def cross_pairs(rows: DataFrame, text_col: str = "text", most: int = 1000) -> DataFrame:
+    """All ordered pairs of different texts of a small sample table; a table of more than `most` rows is refused, not cut."""
+    small = rows.select(text_col)
+    if small.limit(most + 1).count() > most:
+        raise ValueError(f"pairs are made of sample tables of at most {most} rows")
     a, b = small.select(F.col(text_col).alias("a")), small.select(F.col(text_col).alias("b"))
     return a.join(F.broadcast(b), F.col("a") != F.col("b"))
 

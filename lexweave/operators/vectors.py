@@ -39,3 +39,34 @@ def sample_weights(example: Column, is_clean: Column, action_change: float = 3.0
     action = F.transform(example, lambda e: F.when(e["action"] != "KEEP", action_change).when(is_clean, clean_keep).otherwise(dirty_keep))
     punct = F.transform(example, lambda e, i: F.when(e["source_punct"] != e["target_punct"], F.when(i == n - 1, final).otherwise(punct_change)).when(is_clean, punct_clean).otherwise(punct_dirty))
     return action, punct
+
+
+def candidate_ids(rows: DataFrame, vocab: DataFrame, keys: list[str], texts: str = "candidates", k: int = 16) -> DataFrame:
+    """(keys, candidate_ids): for each word of a row the ids of its first `k` candidate texts, 1 where unknown or missing.
+
+    `texts`: array<array<string>>.  A text of several words takes the id of its first known one.
+    """
+    lists = F.transform(texts, lambda c: F.transform(padded(F.transform(c, lambda x: F.coalesce(x, F.lit(""))), k, F.lit("")), lambda x: x))
+    one = rows.select(*keys, F.posexplode(lists).alias("pos", "_c")).select(*keys, "pos", F.posexplode("_c").alias("rank", "_t"))
+    part = one.select(*keys, "pos", "rank", F.posexplode(F.split(F.regexp_replace(T.strip(F.col("_t")), T.WHITE, " "), " ")).alias("at", "_w")).withColumn("norm", T.normalize_word(F.col("_w")))
+    part = part.join(vocab.select("norm", "word_id"), "norm", "left").groupBy(*keys, "pos", "rank").agg(F.min_by("word_id", F.when(F.col("word_id").isNotNull(), F.col("at"))).alias("id"))
+    row = part.groupBy(*keys, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("id", F.lit(1)).alias("id")))), lambda x: x["id"]).alias("ids"))
+    return row.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("candidate_ids"))
+
+
+def tensors(examples: DataFrame, vocab: DataFrame, key: str, length: int = 128, k: int = 16, **weights: float) -> DataFrame:
+    """(key, token_ids, candidate_ids, source_punct_ids, action_ids, punct_ids, action_weights, punct_weights), each `length` long.
+
+    `examples`: key, example, is_clean.  What is missing at the end is 0; the last word within `length` counts as final.
+    """
+    cut = examples.withColumn("example", F.slice("example", F.lit(1), F.lit(length)))
+    rows = cut.select(key, "example", "is_clean", F.transform("example", lambda e: e["source"]).alias("words"), F.transform("example", lambda e: e["candidates"]).alias("candidates"))
+    action, punct = sample_weights(F.col("example"), F.col("is_clean"), **weights)
+    actions = action_classes(k)
+    made = rows.select(
+        key, padded(F.transform("example", lambda e: class_id(e["source_punct"], PUNCT_CLASSES)), length).alias("source_punct_ids"), padded(F.transform("example", lambda e: class_id(e["action"], actions)), length).alias("action_ids"),
+        padded(F.transform("example", lambda e: class_id(e["target_punct"], PUNCT_CLASSES)), length).alias("punct_ids"), padded(action, length, 0.0).alias("action_weights"), padded(punct, length, 0.0).alias("punct_weights"),
+    )
+    ids = word_ids(rows, vocab, [key]).select(key, padded(F.col("ids"), length).alias("token_ids"))
+    found = candidate_ids(rows, vocab, [key], k=k).select(key, F.slice(F.concat("candidate_ids", F.array_repeat(F.array_repeat(F.lit(0), k), length)), 1, length).alias("candidate_ids"))
+    return made.join(ids, key).join(found, key)

@@ -23,6 +23,28 @@ STRICTNESS = {
     "aggressive": {"action": 0.70, "action_margin": 0.10, "dictionary_action": 0.84, "rule_action": 0.78, "delete": 0.98, "punct": 0.88, "punct_margin": 0.14, "punct_delete": 0.97, "punct_delete_margin": 0.30, "comma_delete": 0.995, "comma_delete_margin": 0.45, "guard_confidence": 0.55, "max_change_ratio": 0.28, "max_length_delta_ratio": 0.20, "max_simple_punct_drop": 3, "min_punct_similarity": 0.45},
 }
 
+# Word lists of the gates.
+GLUED_SERVICE = ("в", "во", "на", "не", "ни", "о", "об", "обо", "по", "за", "до", "к", "ко", "с", "со", "из", "от", "их")
+PHRASE_JOININGS = (("по", "новому", "по-новому"), ("в", "виду", "ввиду"), ("мини", "футбол", "мини-футбол"))
+PRESIDENT_NEXT = ("рф", "российской")
+COMMA_SERVICE = ("в", "во", "на", "к", "ко", "с", "со", "от", "до", "из", "за", "по", "при", "для", "без", "у", "о", "об", "обо")
+MONTHS = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
+DICTIONARY_LIKE = ("dictionary", "keyboard", "orthographic", "mined")
+ENTITY_PREVIOUS = ("город", "городе", "города", "городу", "деревня", "деревне", "житель", "жителя", "жительница", "жители", "имени", "крае", "области", "поселке", "поселок", "посёлке", "посёлок", "районе", "республике", "селе", "словам", "улица", "улице")
+ENTITY_NEXT = ("области", "края", "района", "улицы")
+INFINITIVE_CUES = ("может", "могут", "будет", "будут", "должен", "должна", "должно", "должны", "нужно", "надо", "риск", "риске", "чтобы")
+FOREIGN_DOUBLES = ("ьь", "ъъ", "йй", "ёё")
+ADJECTIVE_ENDINGS = ("ых", "их", "ого", "его", "ому", "ему", "ым", "им", "ыми", "ими", "ой", "ую", "юю")
+VERB_ENDINGS = ("л", "ла", "ло", "ли", "ет", "ют", "ит", "ят", "ется", "ются", "ем", "им", "ете", "ите")
+PARTICIPLE_ENDINGS = ("вший", "вшая", "вшее", "вшие", "нный", "нная", "нное", "нные", "енный", "енная", "енное", "енные", "емый", "емая", "емое", "емые", "ющий", "ющая", "ющее", "ющие", "ший", "шая", "шее", "шие", "тый", "тая", "тое", "тые")
+INTRODUCTORY = ("пожалуй", "наверное", "конечно", "возможно", "вероятно", "однако", "например")
+REPORTED = ("сообщалось", "сообщается", "сообщили", "сообщил", "сообщила", "сообщают", "сообщает")
+SPEECH_VERBS = ("утверждают", "утверждалось", "заявил", "заявила", "заявили", "заявляет", "заявляют", "добавил", "добавила", "добавили", "подтвердил", "подтвердила", "подтвердили", "ответил", "ответила", "ответили", "выразил", "выразила", "выразили", "подчеркнул", "подчеркнула", "подчеркнули", "спрашивает", "сказал", "сказала", "сказали", "понимают", "слушают", "сожалею")
+FIXED_NEXT = ("или", "чтобы", "самого", "самой", "самое", "самые", "стоит", "времени")
+FIXED_PAIRS = (("башни", "не"), ("подвал", "не"), ("словом", "не"), ("прессы", "не"), ("тем", "не"), ("античности", "геммы"), ("очередь", "министр"), ("образом", "биржа"), ("мотивация", "была"), ("почерковеды", "работали"), ("значит", "возраст"), ("работаешь", "сейчас"), ("ответьте", "мне"), ("выяснялись", "отношения"), ("контекст", "достаточно"), ("средство", "освоения"), ("руставели", "их"))
+PREPOSITIONS = ("на", "с", "со", "в", "во", "по", "при", "для", "о", "об", "обо", "у", "к", "ко", "от", "до", "из", "за")
+DESCRIPTOR_ENDINGS = ("ен", "на", "но", "ны", "ый", "ий", "ая", "ое", "ые")
+
 
 @dataclass(frozen=True)
 class Profile:

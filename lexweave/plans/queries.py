@@ -32,8 +32,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over all cores: a table whose files are cut into fewer parts than there are cores is dealt anew, any other is left as it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def q(text: str) -> str:
@@ -68,31 +74,54 @@ def cut(text, at):
     return F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + 2, F.length(text)))
 
 
+def put(text, at, letter: str):
+    return F.concat(F.substring(text, F.lit(1), at), F.lit(letter), F.substring(text, at + 1, F.length(text)))
+
+
 def pair_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of sentences of 10 to 240 characters: one character left out in the error, and a stand-in for a prediction."""
-    s = sentence_rows(spark, d).filter(F.length("sentence").between(10, 240))
-    at = F.pmod(n_of("err", "doc_id", "pos"), F.length("sentence")).cast("int")
-    at2 = F.pmod(n_of("two", "doc_id", "pos"), F.length("sentence")).cast("int")
+    """Pairs of all sentences: up to three edits in the error (a character left out, letters put in), and a stand-in for a prediction."""
+    s = sentence_rows(spark, d).filter("sentence <> ''")
+    at, at2, at3 = (F.pmod(n_of(seed, "doc_id", "pos"), F.length("sentence")).cast("int") for seed in ("err", "two", "three"))
     k = F.pmod(n_of("pick", "doc_id", "pos"), F.lit(8)).cast("int")
-    text = F.col("sentence")
-    error = F.when(k == 7, text).otherwise(cut(text, at))
-    predicted = F.when(k < 4, text).when(k.isin(4, 5), error).otherwise(cut(text, at2))
+    s = s.select("*", at.alias("_a"), at2.alias("_b"), at3.alias("_c"), k.alias("_k"))
+    text, at, at2, at3, k = (F.col(c) for c in ("sentence", "_a", "_b", "_c", "_k"))
+    one = cut(text, at)
+    two = put(one, F.least(at2, F.length(one)), "x")
+    three = put(two, F.least(at3, F.length(two)), "q")
+    error = F.when(k == 7, text).when(F.pmod(k, F.lit(3)) == 0, one).when(F.pmod(k, F.lit(3)) == 1, two).otherwise(three)
+    predicted = F.when(k < 4, text).when(k.isin(4, 5), error).otherwise(cut(put(text, at2, "x"), at3))
     return s.select("doc_id", "pos", "lang", "source", error.alias("error_text"), text.alias("correct_text"), predicted.alias("predicted_text"), F.concat(F.lit("t"), F.pmod(k, F.lit(3)).cast("string"), F.when(k > 3, ",x").otherwise("")).alias("error_types"))
 
 
-PAIRS = f"""{SENT}, p0 AS (SELECT *, {num('doc_id', 'pos', "'err'")} % length(sentence) AS at1, {num('doc_id', 'pos', "'two'")} % length(sentence) AS at2, {num('doc_id', 'pos', "'pick'")} % 8 AS k FROM sent WHERE length(sentence) BETWEEN 10 AND 240),
-p1 AS (SELECT *, CASE WHEN k = 7 THEN sentence ELSE substr(sentence, 1, at1::INT) || substr(sentence, at1::INT + 2) END AS error_text FROM p0),
-pairs AS (SELECT doc_id, pos, lang, source, error_text, sentence AS correct_text, CASE WHEN k < 4 THEN sentence WHEN k IN (4, 5) THEN error_text ELSE substr(sentence, 1, at2::INT) || substr(sentence, at2::INT + 2) END AS predicted_text,
-  't' || (k % 3) || CASE WHEN k > 3 THEN ',x' ELSE '' END AS error_types FROM p1)"""
-_DIST = "(CASE WHEN {a} = correct_text THEN 0 ELSE 1 END)"
-#: Both texts are the target or the target less one character, so the distance is 0 or 1 without counting bytes.
+_PUT = "substr({0}, 1, {1}) || '{2}' || substr({0}, {1} + 1)"
+PAIRS = f"""{SENT}, p0 AS (SELECT *, ({num('doc_id', 'pos', "'err'")} % length(sentence))::INT AS at1, ({num('doc_id', 'pos', "'two'")} % length(sentence))::INT AS at2, ({num('doc_id', 'pos', "'three'")} % length(sentence))::INT AS at3, {num('doc_id', 'pos', "'pick'")} % 8 AS k FROM sent WHERE sentence <> ''),
+p1 AS (SELECT *, substr(sentence, 1, at1) || substr(sentence, at1 + 2) AS e1, {_PUT.format('sentence', 'at2', 'x')} AS y1 FROM p0), p2 AS (SELECT *, {_PUT.format('e1', 'least(at2, length(e1))', 'x')} AS e2 FROM p1), p3 AS (SELECT *, {_PUT.format('e2', 'least(at3, length(e2))', 'q')} AS e3 FROM p2),
+p4 AS (SELECT *, CASE WHEN k = 7 THEN sentence WHEN k % 3 = 0 THEN e1 WHEN k % 3 = 1 THEN e2 ELSE e3 END AS error_text FROM p3),
+pairs AS (SELECT doc_id, pos, lang, source, error_text, sentence AS correct_text, CASE WHEN k < 4 THEN sentence WHEN k IN (4, 5) THEN error_text ELSE substr(y1, 1, at3) || substr(y1, at3 + 2) END AS predicted_text,
+  't' || (k % 3) || CASE WHEN k > 3 THEN ',x' ELSE '' END AS error_types FROM p4)"""
+#: DuckDB counts bytes: the letters of the tables that take more than one become control characters, which the tables do not have.
+BYTES = "translate({}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '" + "".join(chr(c) for c in (*range(1, 9), *range(14, 27))) + "')"
+_DIST = f"(CASE WHEN {{a}} = correct_text THEN 0 ELSE levenshtein({BYTES.format('{a}')}, {BYTES.format('correct_text')}) END)"
+
+
+def _words(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '{SLOT}'), lambda w: {NORM.format('w')})"
+
+
+def _marks(text: str) -> str:
+    return f"regexp_replace({text}, '{q(T.char_class(P.PUNCT_CHARS, True))}', '', 'g')"
+
+
+_COUNT = "abs((length(predicted_text) - length(replace(predicted_text, '{0}', ''))) - (length(correct_text) - length(replace(correct_text, '{0}', ''))))"
 ROWS = f"""{PAIRS}, m AS (SELECT *, {_DIST.format(a='error_text')} / length(correct_text) AS input_cer, {_DIST.format(a='predicted_text')} / length(correct_text) AS pred_cer FROM pairs),
-a AS (SELECT *, pred_cer - input_cer AS cer_delta, trim(predicted_text, ' \n\r\t') = trim(correct_text, ' \n\r\t') AS exact_match, pred_cer < input_cer AS improved, pred_cer > input_cer AS worse, predicted_text = error_text AS unchanged,
-  input_cer = 0 AND predicted_text <> error_text AS clean_overcorrection FROM m)"""
+u AS (SELECT *, input_cer - pred_cer AS cer_delta, trim(predicted_text, ' \n\r\t') = trim(correct_text, ' \n\r\t') AS exact_match, pred_cer < input_cer AS improved, pred_cer > input_cer AS worse, trim(predicted_text, ' \n\r\t') = trim(error_text, ' \n\r\t') AS unchanged FROM m),
+a AS (SELECT *, input_cer = 0 AND NOT unchanged AS clean_overcorrection, input_cer = 0 AND {_words('predicted_text')} <> {_words('correct_text')} AS word_overcorrection,
+  input_cer = 0 AND {_marks('predicted_text')} <> {_marks('correct_text')} AS punct_overcorrection, {' + '.join(_COUNT.format(q(c)) for c in P.PUNCT_CHARS)} AS punct_count_error FROM u)"""
 SUMMARY = """count(*) AS examples, round(avg(exact_match::INT), 6) AS exact_match, round(avg(input_cer), 6) AS mean_input_cer, round(avg(pred_cer), 6) AS mean_pred_cer, round(avg(cer_delta), 6) AS mean_cer_delta,
   round(avg(improved::INT), 6) AS improved_rate, round(avg(worse::INT), 6) AS worse_rate, round(avg(unchanged::INT), 6) AS unchanged_rate, round(avg(CASE WHEN input_cer > 0 THEN unchanged::INT END), 6) AS unchanged_wrong_rate,
-  round(avg(CASE WHEN input_cer = 0 THEN clean_overcorrection::INT END), 6) AS clean_overcorrection_rate"""
-KEPT = ("examples", "exact_match", "mean_input_cer", "mean_pred_cer", "mean_cer_delta", "improved_rate", "worse_rate", "unchanged_rate", "unchanged_wrong_rate", "clean_overcorrection_rate")
+  round(avg(CASE WHEN input_cer = 0 THEN clean_overcorrection::INT END), 6) AS clean_overcorrection_rate, round(avg(CASE WHEN input_cer = 0 THEN word_overcorrection::INT END), 6) AS word_overcorrection_rate,
+  round(avg(CASE WHEN input_cer = 0 THEN punct_overcorrection::INT END), 6) AS punct_overcorrection_rate, round(avg(punct_count_error), 6) AS mean_punct_count_error, 0::BIGINT AS layout_changed_without_edits_count"""
+KEPT = ("examples", "exact_match", "mean_input_cer", "mean_pred_cer", "mean_cer_delta", "improved_rate", "worse_rate", "unchanged_rate", "unchanged_wrong_rate", "clean_overcorrection_rate", "word_overcorrection_rate", "punct_overcorrection_rate", "mean_punct_count_error", "layout_changed_without_edits_count")
 
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +273,29 @@ def dictionary_scores(spark, d):
     return found.groupBy("norm").agg(F.count("*").alias("n"), F.round(F.max(F.log1p("freq") - 2), 6).alias("best"))
 
 
-@query()
+_SWAPPED = "(length({0}) = length({1}) AND levenshtein({0}, {1}) = 2 AND list_bool_or(list_transform(range(1, length({0})), lambda i: substr({0}, 1, (i - 1)::INT) || substr({0}, (i + 1)::INT, 1) || substr({0}, i::INT, 1) || substr({0}, (i + 2)::INT) = {1})))"
+_FIRST = "coalesce(list_position(list_transform(range(1, least(length({0}), length({1})) + 1), lambda i: substr({0}, i::INT, 1) <> substr({1}, i::INT, 1)), true), 0)"
+
+
+def _crossed(a: str, b: str, p: str) -> str:
+    rest = [f"substr({w}, ({p} + 2)::INT)" for w in (a, b)]
+    near = f"({rest[0]} <> {rest[1]} AND (levenshtein({rest[0]}, {rest[1]}) = 1 OR {_SWAPPED.format(*rest)}))"
+    return f"({p} > 0 AND {p} < least(length({a}), length({b})) AND substr({a}, {p}::INT, 1) = substr({b}, ({p} + 1)::INT, 1) AND substr({a}, ({p} + 1)::INT, 1) = substr({b}, {p}::INT, 1) AND {near})"
+
+
+TWICE = "list_distinct(flatten(list_transform(" + KEYS.format(w="{w}") + ", lambda z: " + KEYS.replace("lambda i", "lambda j").replace("(i - 1)", "(j - 1)").replace("(i + 1)", "(j + 1)").format(w="z") + ")))"
+
+
+def two_edits(left: str, right: str) -> str:
+    """CTEs that end in `two` (a, b): pairs of the words `a` of `left` and `b` of `right` at optimal string alignment distance 2."""
+    return f"""ta AS MATERIALIZED (SELECT a, unnest({TWICE.format(w='a')}) AS k FROM {left}), tb AS MATERIALIZED (SELECT b, unnest({TWICE.format(w='b')}) AS k FROM {right}),
+near2 AS MATERIALIZED (SELECT DISTINCT a, b FROM ta JOIN tb USING (k) WHERE a <> b), lev2 AS MATERIALIZED (SELECT *, levenshtein(a, b) AS l FROM near2),
+far2 AS MATERIALIZED (SELECT a, b, reverse(a) AS ra, reverse(b) AS rb, {_FIRST.format('a', 'b')} AS p, {_FIRST.format('reverse(a)', 'reverse(b)')} AS rp FROM lev2 WHERE l IN (3, 4)),
+two AS (SELECT a, b FROM lev2 WHERE l = 2 AND NOT {_SWAPPED.format('a', 'b')} UNION ALL SELECT a, b FROM far2 WHERE {_crossed('a', 'b', 'p')} OR {_crossed('ra', 'rb', 'rp')})"""
+
+
+@query(f"""WITH {LEX.replace('lex AS (', 'lex AS MATERIALIZED (')}, probe AS (SELECT norm AS a FROM lex WHERE freq = 1 AND len >= 8), ranked AS (SELECT norm, len, row_number() OVER (PARTITION BY len ORDER BY freq DESC, first.d, first.p) AS r FROM lex WHERE freq >= 2), top AS (SELECT norm AS b FROM ranked WHERE r <= 2000 AND len >= 6),
+{two_edits('probe', 'top')} SELECT a AS norm, b AS cand, 2 AS distance FROM two""")
 def osa2_join(spark, d):
     """Long words seen once with frequent words two edits away."""
     rare, good = probe_words(spark, d)
@@ -252,7 +303,8 @@ def osa2_join(spark, d):
     return fuzzy.within_two(rare.filter(F.length("norm") >= P.LATIN.long_length), top)
 
 
-@query(f"""WITH {LEX}, good AS (SELECT norm FROM lex WHERE freq >= 2), x AS (SELECT norm, unnest(range(3, length(norm) - 2)) AS k FROM lex WHERE freq = 1 AND len >= 6) SELECT norm, k::INT AS place, substr(norm, 1, k::INT) AS "left", substr(norm, k::INT + 1) AS "right" FROM x WHERE substr(norm, 1, k::INT) IN (SELECT norm FROM good) AND substr(norm, k::INT + 1) IN (SELECT norm FROM good)""")
+@query(f"""WITH {LEX.replace('lex AS (', 'lex AS MATERIALIZED (')}, good AS MATERIALIZED (SELECT norm FROM lex WHERE freq >= 2), x AS MATERIALIZED (SELECT norm, unnest(range(3, length(norm) - 2)) AS k FROM lex WHERE freq = 1 AND len >= 6),
+y AS MATERIALIZED (SELECT norm, k, substr(norm, 1, k::INT) AS l, substr(norm, k::INT + 1) AS r FROM x) SELECT y.norm, k::INT AS place, l AS "left", r AS "right" FROM y JOIN good a ON a.norm = l JOIN good b ON b.norm = r""")
 def split_candidates(spark, d):
     """Words seen once that are two known words."""
     lex = lexicon_of(spark, d)
@@ -266,14 +318,6 @@ def candidate_topk(spark, d):
     return candidates.candidates(rare.withColumnRenamed("norm", "word"), good, P.LATIN, split=True)
 
 
-@query()
-def hard_negatives(spark, d):
-    """For each probe word, the candidate of the lowest score."""
-    rare, good = probe_words(spark, d)
-    found = candidates.candidates(rare.withColumnRenamed("norm", "word"), good, P.LATIN, long_oov=False)
-    return found.groupBy("word").agg(F.min_by(F.struct("text", "score"), F.struct((F.col("score") >= 0).alias("s"), -F.col("score"))).alias("x")).select("word", "x.*")
-
-
 @query(f"WITH s AS (SELECT doc_id, regexp_extract_all(text, '{SLOT}') AS w FROM documents), e AS (SELECT {NORM.format('unnest(w[:-2])')} AS a, {NORM.format('unnest(w[2:])')} AS b FROM s WHERE len(w) > 1) SELECT a, b, count(*) AS n FROM e GROUP BY a, b HAVING count(*) >= 3")
 def phrase_bigrams(spark, d):
     """Consecutive words that occur at least three times."""
@@ -297,8 +341,9 @@ def synthetic_look(spark, d):
     return lexicon.word_rows(documents(spark, d)).groupBy("word").agg(F.count("*").alias("n")).withColumn("synthetic", G.looks_synthetic(F.col("word")))
 
 
-@query(f"""WITH {PAIRS}, w AS (SELECT *, trim(error_text, ' \n\r\t') AS e, trim(correct_text, ' \n\r\t') AS c, len(regexp_extract_all(error_text, '{SLOT}')) AS n, len(regexp_extract_all(correct_text, '{SLOT}')) AS m FROM pairs)
-SELECT lang, CASE WHEN e = '' OR c = '' THEN 'empty' WHEN e = c THEN 'identical' WHEN regexp_replace(e, '\\s+', '', 'g') = regexp_replace(c, '\\s+', '', 'g') THEN 'spacing_only' WHEN n = 0 OR m = 0 THEN 'no_words' WHEN n > 96 OR m > 96 THEN 'too_many_tokens' ELSE '' END AS reason, count(*) AS n_pairs FROM w GROUP BY ALL""")
+@query(f"""WITH {PAIRS}, w AS (SELECT *, trim(error_text, ' \n\r\t') AS e, trim(correct_text, ' \n\r\t') AS c FROM pairs), n AS (SELECT *, {_words('e')} AS ew, {_words('c')} AS cw FROM w), x AS (SELECT *, len(ew) AS n, len(cw) AS m, array_to_string(ew, ' ') AS ej, array_to_string(cw, ' ') AS cj FROM n)
+SELECT lang, CASE WHEN e = '' OR c = '' THEN 'empty' WHEN e = c THEN 'identical' WHEN regexp_replace(e, '\\s+', '', 'g') = regexp_replace(c, '\\s+', '', 'g') THEN 'spacing_only' WHEN length(e) > 240 OR length(c) > 240 THEN 'too_long' WHEN n = 0 OR m = 0 THEN 'no_words' WHEN n > 96 OR m > 96 THEN 'too_many_tokens'
+ WHEN abs(n - m) > 3 AND abs(n - m) / greatest(m, 1) > 0.20 THEN 'large_token_count_shift' WHEN 1.0::DOUBLE - levenshtein({BYTES.format('e')}, {BYTES.format('c')}) / greatest(length(c), 1) < 0.72::DOUBLE THEN 'heavy_rewrite' WHEN levenshtein({BYTES.format('ej')}, {BYTES.format('cj')}) / greatest(length(cj), 1) > 0.55::DOUBLE THEN 'heavy_word_rewrite' ELSE '' END AS reason, count(*) AS n_pairs FROM x GROUP BY ALL""")
 def pair_filter_reasons(spark, d):
     """Reasons why pairs are dropped, by language."""
     return pair_rows(spark, d).groupBy("lang", R.pair_reason(F.col("error_text"), F.col("correct_text")).alias("reason")).agg(F.count("*").alias("n_pairs"))
@@ -368,7 +413,7 @@ def inject_punct_remove(spark, d):
 @query()
 def curriculum(spark, d):
     """Correction pairs of sentences by weighted error profiles."""
-    s = sentence_rows(spark, d).filter(F.length("sentence").between(10, 240)).select(F.concat_ws("-", "doc_id", "pos").alias("key"), F.col("sentence").alias("text"))
+    s = sentence_rows(spark, d).select(F.concat_ws("-", "doc_id", "pos").alias("key"), F.col("sentence").alias("text"))
     return inject.curriculum(s, key_col="key")
 
 
@@ -402,10 +447,10 @@ def summary_by_source(spark, d):
     return metrics.summary_by(analysed(spark, d), "source").select("slice", *KEPT)
 
 
-@query(f"WITH {ROWS} SELECT doc_id, pos, round(cer_delta, 9) AS cer_delta FROM a ORDER BY a.cer_delta DESC, doc_id, pos LIMIT 50")
+@query(f"WITH {ROWS} SELECT doc_id, pos, round(cer_delta, 9) AS cer_delta FROM a ORDER BY a.cer_delta, doc_id, pos LIMIT 50")
 def worst_cases(spark, d):
     """The fifty rows that became worst."""
-    return analysed(spark, d).orderBy(F.desc("cer_delta"), "doc_id", "pos").limit(50).select("doc_id", "pos", F.round("cer_delta", 9).alias("cer_delta"))
+    return metrics.worst(analysed(spark, d), ["doc_id", "pos"]).select("doc_id", "pos", F.round("cer_delta", 9).alias("cer_delta"))
 
 
 @query("SELECT lang AS value, count(*) AS n FROM documents GROUP BY lang")
@@ -425,9 +470,6 @@ def multiset_prf(spark, d):
     return metrics.precision_recall(metrics.edit_overlap(words("correct_text"), words("predicted_text"), ["lang", "doc_id", "pos"]), ["lang"])
 
 
-_COUNT = "abs((length(predicted_text) - length(replace(predicted_text, '{0}', ''))) - (length(correct_text) - length(replace(correct_text, '{0}', ''))))"
-
-
 @query(f"WITH {PAIRS} SELECT lang, sum({' + '.join(_COUNT.format(q(c)) for c in P.PUNCT_CHARS)})::BIGINT AS errors, count(*) AS n FROM pairs GROUP BY lang")
 def punct_count_error(spark, d):
     """M3: differences of mark counts."""
@@ -470,10 +512,13 @@ def covered(spark, d):
 
 @query(f"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '{SLOT}')) AS n FROM documents), x AS (SELECT doc_id, n, unnest(range(0, greatest(0, ceil((n - 128) / 104.0))::BIGINT + 1)) AS k FROM w WHERE n > 0),
 y AS (SELECT doc_id, k, unnest(range(k * 104, least(k * 104 + 128, n))) AS i, k * 104 AS s, least(k * 104 + 128, n) AS e FROM x), z AS (SELECT doc_id, i, k, least(i - s, e - 1 - i) AS edge, {num('doc_id', 'i', 'k', "'win'")} AS h FROM y),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY edge DESC, h % 1000 DESC, k) AS rn FROM z) SELECT doc_id, k::INT AS window_id, count(*) AS n, sum(edge)::BIGINT AS edges FROM r WHERE rn = 1 GROUP BY doc_id, k""")
+r AS (SELECT *, row_number() OVER g AS rn, lag(edge) OVER b AS e0, lag(h % 1000) OVER b AS c0, lag(h % 3) OVER b AS o0 FROM z WINDOW g AS (PARTITION BY doc_id, i ORDER BY edge DESC, h % 1000 DESC, k), b AS (PARTITION BY doc_id, i ORDER BY k)),
+-- at most two windows hold a place, so a window can only take over from the one before it
+c AS (SELECT *, bool_or(e0 IS NOT NULL AND (edge > e0 OR (edge = e0 AND h % 1000 > c0)) AND h % 3 <> o0) OVER (PARTITION BY doc_id, i) AS conflict FROM r)
+SELECT doc_id, k::INT AS window_id, count(*) AS n, sum(edge)::BIGINT AS edges, sum(h % 3)::BIGINT AS outputs, sum(conflict::INT)::BIGINT AS conflicts FROM c WHERE rn = 1 GROUP BY doc_id, k""")
 def window_resolution(spark, d):
     """The window that decides about each word."""
-    return windows.resolve_overlaps(covered(spark, d), ["doc_id", "i"]).groupBy("doc_id", "window_id").agg(F.count("*").alias("n"), F.sum("edge").alias("edges"))
+    return windows.resolve_overlaps(covered(spark, d), ["doc_id", "i"]).groupBy("doc_id", "window_id").agg(F.count("*").alias("n"), F.sum("edge").alias("edges"), F.sum(F.col("output").cast("long")).alias("outputs"), F.sum(F.col("conflict").cast("long")).alias("conflicts"))
 
 
 @query(f"SELECT conv_id, string_agg(text, '\n' ORDER BY turn) AS corrected, round(avg({num('conv_id', 'turn', chr(39) + 'c' + chr(39))} % 100 / 100.0), 6) AS confidence, bool_and(role <> 'system') AS accepted, count(*) AS edits FROM conversations GROUP BY conv_id")
@@ -623,7 +668,7 @@ def profile_outliers(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Sentences, an injected error each, unknown words, the best candidate one edit away, and error rates before and after by language."""
     lex = lexicon_of(spark, d).filter("freq >= 2")
-    rows = sentence_rows(spark, d).filter(F.length("sentence").between(10, 240))
+    rows = sentence_rows(spark, d)
     words = rows.select("doc_id", "pos", "lang", F.posexplode(T.word_tokens(F.col("sentence"))).alias("slot", "word")).withColumn("right", T.normalize_word(F.col("word")))
     h = n_of("flag", "doc_id", "pos", "slot")
     wrong = words.withColumn("norm", F.when(F.pmod(h, F.lit(5)) == 0, inject.delete_char(F.col("right"), h)).otherwise(F.col("right")))

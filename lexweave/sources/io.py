@@ -26,6 +26,40 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(T.strip(F.col("value")) != "").select("line_no", T.raw_spacing(F.col("value")).alias("text"))
 
 
+# Sentences of the sample corpus.
+SAMPLE = (
+    "Машинное обучение - это раздел искусственного интеллекта.",
+    "Нейронные сети позволяют решать сложные задачи.",
+    "Python является популярным языком программирования.",
+    "Глубокое обучение требует большого количества данных.",
+    "Нейросетевые модели хорошо работают с последовательностями.",
+    "Обработка естественного языка - интересная область.",
+    "Курсовая работа требует серьезного подхода.",
+    "Анализ данных помогает находить закономерности.",
+    "Важно правильно подготовить данные для обучения.",
+    "Качество модели зависит от качества данных.",
+)
+
+
+def sample_texts(spark: SparkSession) -> DataFrame:
+    """(line_no, text): the sample sentences, and each of them followed by each other one."""
+    base = spark.createDataFrame(list(enumerate(SAMPLE)), "i int, text string")
+    both = base.alias("a").join(F.broadcast(base.alias("b")), F.col("a.i") != F.col("b.i"))  # ten rows
+    n = len(SAMPLE)
+    pairs = both.select((F.col("a.i") * n + F.when(F.col("b.i") < F.col("a.i"), F.col("b.i") + 1).otherwise(F.col("b.i"))).cast("long").alias("line_no"), F.concat_ws(" ", "a.text", "b.text").alias("text"))
+    return base.select((F.col("i") * n).cast("long").alias("line_no"), "text").unionByName(pairs)
+
+
+def texts_or_sample(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a text file, or the sample corpus where there is no such file."""
+    return read_texts(spark, path) if exists(spark, path) else sample_texts(spark)
+
+
+def read_column(spark: SparkSession, path: str, column: str = "correct_text") -> DataFrame:
+    """One column of a CSV file; the parser reads no other."""
+    return read_csv(spark, path).select(column)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
@@ -89,6 +123,23 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("rejection_reason_counts").alias("source", "m")).select("source", F.explode("m").alias("reason", "n"))
 
 
+def save_lexicon(lex: DataFrame, mined: DataFrame | None, path: str) -> None:
+    """A lexicon, and the confusions mined with it, as two tables."""
+    write_table(lex, f"{path}/lexicon")
+    if mined is not None:
+        write_table(mined, f"{path}/mined")
+
+
+def load_lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """What `save_lexicon` wrote; a folder without mined confusions gives None for them."""
+    return spark.read.parquet(f"{path}/lexicon"), spark.read.parquet(f"{path}/mined") if exists(spark, f"{path}/mined") else None
+
+
+def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): plain text documents, one row each."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """One JSON object a row."""
     summary.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

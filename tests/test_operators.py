@@ -3,8 +3,6 @@
 import difflib
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexweave.functions import gates as G
@@ -25,16 +23,36 @@ def test_lexicon(spark):
     assert lexicon.unknown_words(lexicon.word_rows(texts(spark, ["кот мяу"])), lex).select("word").collect()[0][0] == "мяу"
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text("abc", min_size=0, max_size=6), st.text("abc", min_size=0, max_size=6))
-def test_osa_kernel(a, b):
+def osa(a, b):
+    """Optimal string alignment distance by its whole matrix."""
     full = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
         for j in range(1, len(b) + 1):
             full[i][j] = min(full[i - 1][j] + 1, full[i][j - 1] + 1, full[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 full[i][j] = min(full[i][j], full[i - 2][j - 2] + 1)
-    assert fuzzy._osa(a, b, 2) == min(full[-1][-1], 3)
+    return full[-1][-1]
+
+
+def test_osa_columns(spark):
+    """Distances of exactly one and two, told by columns, against the whole matrix over all words of up to five of three letters."""
+    import itertools
+    import random
+
+    words = ["".join(w) for n in range(6) for w in itertools.product("abc", repeat=n)]
+    rng = random.Random(3)
+    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(6000)] + [(w, w) for w in words[:20]] + [("ca", "abc"), ("abcdef", "badcef"), ("abcdef", "bacdfe"), ("bb", "aaaa")]
+    for _ in range(3000):
+        w = list(rng.choice(words[100:]) + rng.choice(words[100:]))
+        v = list(w)
+        for _ in range(2):
+            i = rng.randrange(len(v) - 1)
+            kind = rng.randrange(4)
+            v[i : i + 2] = [v[i + 1], v[i]] if kind == 0 else [v[i]] if kind == 1 else [v[i], "x", v[i + 1]] if kind == 2 else ["y", v[i + 1]]
+        pairs.append(("".join(w), "".join(v)))
+    frame = spark.createDataFrame(pairs, "a string, b string").select("a", "b", G.one_osa(F.col("a"), F.col("b")).alias("one"), G.two_osa(F.col("a"), F.col("b")).alias("two"))
+    for r in frame.collect():
+        assert (r.one, r.two) == (osa(r.a, r.b) == 1, osa(r.a, r.b) == 2), (r.a, r.b)
 
 
 def test_distance_joins(spark):
@@ -46,7 +64,7 @@ def test_distance_joins(spark):
     left, right = words[::2], words[1::2]
     a, b = spark.createDataFrame([(w,) for w in left], "norm string"), spark.createDataFrame([(w,) for w in right], "cand string")
     for n, found in ((1, fuzzy.within_one(a, b)), (2, fuzzy.within_two(a, b))):
-        want = {(x, y) for x, y in itertools.product(left, right) if fuzzy._osa(x, y, 2) == n}
+        want = {(x, y) for x, y in itertools.product(left, right) if osa(x, y) == n}
         rows = [(r.norm, r.cand) for r in found.collect()]
         assert set(rows) == want and len(rows) == len(want)
     pairs = spark.createDataFrame([("aab", "ab"), ("abcd", "abdc"), ("a", "b")], "a string, b string")
@@ -110,6 +128,8 @@ def test_splits(spark):
     assert (count("train"), count("val"), count("test")) == (80, 10, 10) and sorted(map(str, got)) == sorted(map(str, splits.leak_free(rows.repartition(3)).collect()))
     assert inject.clean_slots(texts(spark, [str(i) for i in range(10)]), 0.30, ["doc_id"]).filter("is_clean").count() == 3
     assert splits.in_texts(rows, texts(spark, ["text 1"]).select("text"), "text", keep=False).count() == 101
+    with pytest.raises(ValueError):
+        splits.cross_pairs(rows, most=10)
     assert splits.cross_pairs(texts(spark, ["a", "b", "c"])).count() == 6 and splits.replicate(rows, 2).count() == 206
 
 
@@ -130,6 +150,8 @@ def test_metrics(spark):
     s = metrics.summary(rows).first()
     assert s.examples == 3 and s.improved_rate == pytest.approx(1 / 3, abs=1e-6) and s.clean_overcorrection_rate == 0.5 and s.unchanged_wrong_rate == 0.0
     assert {r.slice: r.examples for r in metrics.summary_slices(rows).collect()} == {"all": 3, "clean": 2, "dirty": 1}
+    gained = {r.predicted_text: r.cer_delta for r in rows.collect()}
+    assert gained["кот"] == pytest.approx(1 / 3) and gained["кит"] == pytest.approx(-1 / 3) and metrics.worst(rows, ["error_text"], 1).first().predicted_text == "кит"
     assert {r.error_type: r.examples for r in metrics.summary_by_label(rows, min_count=1).collect()} == {"a": 2, "b": 2}
     assert metrics.summary(rows.limit(0)).first().exact_match is None
 
