@@ -451,12 +451,12 @@ def lexicon_files(spark, d):
     return lex
 
 
-@query("""SELECT md5(trim(text, ' \n\r\t')) AS error_text, md5(trim(upper(text), ' \n\r\t')) AS correct_text, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source_dataset, CASE WHEN item_id % 2 = 0 THEN 'web' ELSE '' END AS source_domain FROM benchmark""")
+@query("""SELECT md5(trim(text, ' \n\r\t')) AS error_text, md5(trim(lower(text), ' \n\r\t')) AS correct_text, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source_dataset, CASE WHEN item_id % 2 = 0 THEN 'web' ELSE '' END AS source_domain FROM benchmark""")
 def record_files(spark, d):
     """IO4, IO6, IO7: pairs from JSON lines of two files whose fields have different names."""
     path, rows = scratch(spark), table(spark, d, "benchmark")
-    even = rows.filter("item_id % 2 = 0").select(F.to_json(F.struct(F.col("text").alias("source"), F.upper("text").alias("correction"), F.lit("web").alias("domain"))).alias("value"))
-    odd = rows.filter("item_id % 2 = 1").select(F.to_json(F.struct(F.col("text").alias("incorrect"), F.upper("text").alias("correct"))).alias("value"))
+    even = rows.filter("item_id % 2 = 0").select(F.to_json(F.struct(F.col("text").alias("source"), F.lower("text").alias("correction"), F.lit("web").alias("domain"))).alias("value"))
+    odd = rows.filter("item_id % 2 = 1").select(F.to_json(F.struct(F.col("text").alias("incorrect"), F.lower("text").alias("correct"))).alias("value"))
     for name, part in (("even", even), ("odd", odd)):
         part.unionByName(spark.createDataFrame([("[1]",)], "value string")).write.text(f"{path}/{name}")
     found = io.read_pair_files(spark, {n: f"{path}/{n}" for n in ("even", "odd")})
