@@ -32,3 +32,17 @@ def test_stages(spark, tmp_path):
     assert len(kept["mix"]) > len(kept["near_dedup"]) and mixing.CLOSING > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert len([r for r in packed if r.piece == 0]) == len(kept["mix"])
+
+
+def test_odd_tables(spark, tmp_path):
+    """An empty table, repeated ids, nulls in every column, and columns named like those that stages make."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _file string, _row long, _times int, sequence_id long"
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)).capitalize() + "."
+    rows = [(i // 2, text(), "en", f"s{i % 2}", 1, "f", 0, 0, 0) for i in range(40)] + [(None, text(), None, None, None, None, None, None, None), (7, None, None, None, None, None, None, None, None)]
+    for name, some in (("empty", []), ("odd", rows + rows[:4])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(found) == 0) == (name == "empty")
+        if found:
+            assert {r.doc_id for r in found} <= {*range(20), None} and all(r.length > 0 for r in found)
