@@ -499,7 +499,8 @@ def decoded(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     scores = [(i, 0, k, n, t, s, True, "ok") for i, r in enumerate(DECODE) for k, v in r[3].items() for n, (t, s) in enumerate(v.items())]
     said = spark.createDataFrame(scores, "case_id int, line_no int, slot int, place int, text string, score double, available boolean, reason string")
     keys = ["case_id", "line_no"]
-    return lines, decode.decode(fixed, model, keys, lex, P.STRICTNESS["strict"], DECODE_ACTIONS, DECODE_PUNCTS, said)
+    decisions = decode.decode(fixed, model, keys, lex, P.STRICTNESS["strict"], DECODE_ACTIONS, DECODE_PUNCTS, said)
+    return lines, spark.createDataFrame(decisions.collect(), decisions.schema)  # a row for each word of the cases; several tables are made of them
 
 
 @golden(["case_id", "corrected"], outcomes(DECODE))
@@ -682,3 +683,42 @@ def ru_should_check(spark, d):
     """Words worth a search: unknown, or with a rule of their own."""
     words = spark.createDataFrame([(w,) for w, _ in CHECKED], "word string")
     return candidates.should_check(words, lexicon(spark, "слово что дом москва ддом"), P.RU)
+
+
+EVALUATED = ["одеты были.", "Об этом сообщается на странице.", "Об этом сообщается на странице.", "Я думаю, что это важно.", "Я думаю что это важно.", "одеты были.", "отеты были красивыми тут.", "одеты были."]
+
+
+@golden(
+    ["word_edits", "titled", "present", "not_applied", "not_applied_rate", "absent", "blocked", "splits", "regressions", "marks_changed", "marks_applied", "blocked_marks_rate", "split_edits", "coverage"],
+    [(3, 0, 5, 3, 0.6, 0, 3, 2, 0, 2, 2, 0.0, 1, 0.8)],
+)
+def ru_evaluation(spark, d):
+    """Decisions beside what was expected, their ratios, and the rows that a reader would look at."""
+    lines, decisions = decoded(spark)
+    wanted = spark.createDataFrame(list(enumerate(EVALUATED)), "case_id int, correct_text string")
+    made = decode.corrected_lines(lines, decisions, ["case_id", "line_no"]).select("case_id", F.col("line").alias("error_text"), F.col("rebuilt").alias("predicted_text"))
+    rows = metrics.analysis(made.join(wanted, "case_id")).withColumn("error_types", F.lit("unknown"))
+    facts, goal = evaluate.row_facts(rows, "case_id"), evaluate.expected(rows, "case_id")
+    words, marks = evaluate.word_facts(decisions, goal, facts, "case_id"), evaluate.punct_facts(decisions, goal, facts, "case_id")
+    changed = evaluate.edit_facts(decode.edits(decisions, ["case_id", "line_no"]), facts, "case_id")
+    covered = spark.createDataFrame([(i, 0 if i else -1) for i in range(5)], "case_id int, rank int")
+    out = evaluate.ratios(rows, words, marks, covered, changed)
+    looked = evaluate.drill_downs(words, marks)
+    counts = [changed.agg(F.count("*").cast("int").alias("word_edits"), F.count_if("source_is_title").cast("int").alias("titled"))]
+    counts += [looked[k].agg(F.count("*").cast("int").alias(n)) for k, n in (("target_absent", "absent"), ("target_blocked", "blocked"), ("split_decisions", "splits"), ("punct_regressions", "regressions"))]
+    for one in counts:
+        out = out.join(one)  # one row each
+    n = lambda c: F.col(c).cast("int")
+    return out.select(
+        "word_edits", "titled", n("target_present_count").alias("present"), n("target_present_but_not_applied_count").alias("not_applied"), F.col("target_present_but_not_applied_rate").alias("not_applied_rate"), "absent", "blocked", "splits", "regressions",
+        n("punct_target_changed_count").alias("marks_changed"), n("punct_target_applied_count").alias("marks_applied"), F.col("punct_target_predicted_but_blocked_rate").alias("blocked_marks_rate"), n("split_applied_count").alias("split_edits"), F.col("candidate_coverage_rate").alias("coverage"),
+    )
+
+
+@golden(["called", "source_preferred", "disabled", "applied_marks", "lines"], [(1, 0, 1, 2, 8)])
+def ru_counters(spark, d):
+    """Counters derived from decisions."""
+    lines, decisions = decoded(spark)
+    counts = decode.runtime_counters(decisions).select(F.col("reranker_called_count").cast("int").alias("called"), F.col("reranker_source_preferred_count").cast("int").alias("source_preferred"))
+    more = decisions.agg(F.count_if(F.col("reranker_reason").endswith("_context_disabled")).cast("int").alias("disabled"), F.count_if("punct_applied").cast("int").alias("applied_marks"))
+    return counts.join(more).join(lines.agg(F.count("*").cast("int").alias("lines")))  # one row each
