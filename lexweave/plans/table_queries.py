@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -425,8 +426,12 @@ def profile_constants(spark, d):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for files, in the folder that the session shares where it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder for files, in the folder that the session shares; a temporary one only in local mode, where there is one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.gettempdir()
     return f"{shared.rstrip('/')}/lexweave-files/{uuid.uuid4().hex}"
 
 
