@@ -203,6 +203,7 @@ def ru_guard(spark, d):
     return rows.select("case_id", masked(F.col("reason"), F.col("want")).alias("reason"), R.guard_accepts(F.col("reason")).alias("accepted"))
 
 
+# Pairs with the reason that drops them, their labels and kinds.
 PAIRS = [
     ("Это давольно важно.", "Это довольно важно.", "", "REPLACE_0 at 1", "real_spelling"), ("Я думаю что это важно.", "Я думаю, что это важно.", "", "", "real_punctuation"), ("Привет , мир.", "Привет, мир.", "spacing_only", "", "real_other"),
     ("", "Текст.", "empty", None, "real_spelling"), ("Текст.", "Текст.", "identical", "", "real_other"), ("а" * 241, "а" * 240, "too_long", "REPLACE_0 at 0", "real_spelling"), ("Мама мыла раму.", "Вчера горел музей.", "heavy_rewrite", "REPLACE_0 at 0, REPLACE_0 at 1, REPLACE_0 at 2", "real_spelling"),
@@ -278,6 +279,7 @@ def ru_paragraphs(spark, d):
     return built(spark, "lines string, want string", PARAGRAPHS).select("case_id", F.array_join(diff.paragraphs(F.split("lines", r"\|", -1)), "|").alias("paragraphs"))
 
 
+# Texts with what each function makes of them.
 TEXTS = [
     ("raw", "Что случилось?1 марта 2024Впервые сообщили.", "Что случилось? 1 марта 2024 Впервые сообщили."), ("raw", "Дом,который стоит у дороги.", "Дом,который стоит у дороги."), ("raw", "Конец.Начало", "Конец. Начало"),
     ("external", " Ёжик идёт. ", "Ежик идет."), ("spacing", "Он  пришел ,потом ушел—да", "Он пришел, потом ушел — да"), ("values", "Сайт www.a.ru и почта a@b.ru, 12.5 кг, США и Intel", "www.a.ru a@b.ru 12.5 США Intel"), ("values", "нет ничего", ""),
@@ -299,6 +301,7 @@ def ru_texts(spark, d):
     return built(spark, "kind string, text string, want string", TEXTS).select("case_id", chain.alias("result"))
 
 
+# Gaps between two words.
 GAPS = [(". ", "ч", "2", True), (". ", "ст", "286", True), (".", "News", "ru", True), (".", "T", "злоумышленники", True), (":", "4", "2", True), (", ", "да", "нет", False), (" ", "2", "3", True), (" ", "да", "3", False), (" — ", "да", "нет", False), (" [", "да", "нет", True), ("", "да", "нет", False), (". ", "конец", "Начало", False)]
 
 
@@ -308,6 +311,7 @@ def ru_gaps(spark, d):
     return built(spark, "gap string, word string, next string, want boolean", GAPS).select("case_id", T.protected_gap(F.col("gap"), F.col("word"), F.col("next")).alias("protected"))
 
 
+# Texts with words and marks to change.
 LAYOUT = [
     ("Российская Intel — «Инел А/О» № 143.", "Инел=Интел", "", "Российская Intel — «Интел А/О» № 143."), ("Обвинения идут по двум статьям: ч. 2 ст. 286.", "", "", "Обвинения идут по двум статьям: ч. 2 ст. 286."),
     ('Он сказал: "Привет".', "", ':"=:«;".=».', "Он сказал: «Привет»."), ("Он сказал да", "", "сказал=,", "Он сказал, да"), ("Привет мир", "", "мир=.", "Привет мир."),
@@ -331,6 +335,7 @@ def ru_layout(spark, d):
     return rows.select("case_id", T.rebuild_layout(F.col("text"), slots, words, F.zip_with(slots, own, label), own).alias("rebuilt"))
 
 
+# The words of the candidate cases, and the cases (word, candidate, its source; `-` for one that must not be made).
 LEXICON = (
     "москва стала центром президент российской федерации подписал указ этот вуз открыл лабораторию мягкий поролон лежал рядом нужно кардинально изменить подход железнодорожный вокзал открыт рассказать познавательно утренняя зарядка помогает в общем это работает "
     "как будто все спокойно почему-то он пришел сейчас важный момент винные сорта бывают иные варианты довольно интересно тот же из них к ним с крупные европейские машину частями говорить ся мат часть супер ячейки трехсот летней бюджета сказать об зданий от женщин "
@@ -378,6 +383,7 @@ def ru_mined_confusions(spark, d):
     return found.select("source", "target", F.col("count").cast("int").alias("n"), "place")
 
 
+# Pairs whose targets have a rank.
 TOPK = [("отеты были красными.", "одеты были красными."), ("превет мир.", "превед мир."), ("чисто тут.", "чисто тут."), ("Интереснейшеи дни", "Интереснейшее дни")]
 TOPK_ROWS = [
     (0, 0, "ответы одеты", "REPLACE_1", 1, True, False), (0, 1, "были", "KEEP", -1, False, False), (0, 2, "красными", "KEEP", -1, False, False), (1, 0, "превед", "REPLACE_0", 0, False, True), (1, 1, "мир", "KEEP", -1, False, False), (2, 0, "чисто", "KEEP", -1, False, False),
@@ -410,6 +416,7 @@ def ru_keep_candidates(spark, d):
     return out.select("case_id", "pos", F.array_join("candidates", " ").alias("candidates"), "action", "added")
 
 
+# Words that may get a hard negative.
 ELIGIBLE = [("слово", True, True), ("кот", False, False), ("Слово", False, False), ("слово1", False, False), ("worda", False, False), ("делла", True, False), ("перевез", True, False), ("какой-то", True, True), ("ёлочка", True, True)]
 
 
@@ -420,6 +427,7 @@ def ru_eligible(spark, d):
     return rows.select("case_id", training.eligible(F.col("word")).alias("eligible"), training.clean_noise(F.col("word"), F.col("word") == "перевез").alias("noise"))
 
 
+# Clean texts, one of them with a typo.
 NOISE = [("Это чистый текст.",), ("Тут готорые люди.",), ("Летнем днем хорошо.",), ("Люди которые пришли.",), (None,)]
 
 
@@ -544,6 +552,7 @@ def ru_coverage(spark, d):
     return evaluate.rank_histogram(covered).withColumn("n", F.col("n").cast("int"))
 
 
+# Texts corrected in dictionary mode.
 CORRECT = [
     ("Сегодня очень хороший день, прривет мир и погода.", "Сегодня очень хороший день, привет мир и погода.", True, 1), ("", "", True, 0), (None, "", True, 0), ("Сегодня мир\n\nи прривет очень мир день", "Сегодня мир\n\nи привет очень мир день", True, 1), ("!!!", "!!!", True, 0),
     ("Сегодня   день —  «мир»", "Сегодня   день —  «мир»", True, 0),
@@ -557,6 +566,7 @@ def ru_correct(spark, d):
     return correct.correct(built(spark, "text string, want string, ok boolean, n int", CORRECT), lex, "case_id").select("case_id", "corrected", "accepted", "edits")
 
 
+# Texts with listed phrases.
 PHRASES = [("Мы по новому пути идем", 1, "по-новому"), ("В виду дождя", 0, "ВВИДУ"), ("так же как", 0, "также"), ("в течении дня", 0, "в"), ("в течении дня", 1, "течение"), ("мини футбол", 0, "мини-футбол"), ("просто слова", 0, None)]
 
 
@@ -589,6 +599,7 @@ def ru_injection_rules(spark, d):
     return rows.withColumn("x", made).select("case_id", "x.text", "x.label")
 
 
+# One place for each operator.
 STRUCTURAL = [
     ("punct_quote_style", "Он сказал «да нет»", 'Он сказал "да нет"'), ("punct_remove_quotes", "Он сказал «да нет»", "Он сказал да нет"), ("punct_direct_speech_dash_missing", "Он: — да", "Он: да"), ("punct_direct_speech_inner_punct", "«Привет!»", "«Привет.»"), ("punct_dash_missing", "Он — врач", "Он врач"), ("punct_dash_extra", "Он студент", "Он — студент"),
     ("punct_bracket_missing_close", "Он (вчера) был", "Он (вчера был"), ("punct_ellipsis_extra", "Да...", "Да...."), ("punct_ellipsis_missing", "Да...", "Да"), ("punct_list_missing_colon", "Нужно: хлеб, соль", "Нужно хлеб, соль"), ("punct_list_item_punctuation", "хлеб; соль", "хлеб, соль"), ("punct_quote_punct_order", "«Мир», да", "«Мир,» да"),
