@@ -1,8 +1,9 @@
 """Substring deduplication by hashing of lines and the sentences within them.
 
-A text is cut into units: at line breaks, after sentence ends, and where a capitalised word follows one in lower case
-without a sentence end, so that a passage pasted into the middle of a line has units of its own.  A unit's
-digest covers its lower-cased words only.  Digests are grouped over all documents; the earliest occurrence, by document id and then
+A text is cut into units: at line breaks, after sentence ends, where a capitalised word follows one in lower case
+without a sentence end, and within a sentence before each word whose hash is the least of the `REACH` words on either side.  The
+last rule looks at nothing but the words around the cut, so a passage pasted into the middle of a sentence has units of its own
+wherever it stands, except for some nine words at either end.  A unit's digest covers its lower-cased words only.  Digests are grouped over all documents; the earliest occurrence, by document id and then
 by place, stays.  A run of units in a document that all occurred earlier and together have at least `min_words`
 words is removed.  Shorter repeats stay by default: in a large corpus nearly every short line ("Read more.") occurs somewhere earlier,
 and taking them out would cut holes into documents that copy nothing; `min_words=1` removes every repeated unit.
@@ -25,13 +26,27 @@ from pyspark.sql import functions as F
 from .hashing import WORD_BYTE, buffers, mix, pieces, word_hashes, word_spans
 from .staging import sieved, staged
 
+#: Words to either side among which the one that starts an inner unit has the least hash; sentences of up to twice as many stay whole.
+REACH = 4
 _LAST = (1 << 63) - 1
 _BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
 
-def cuts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, row, words) of every unit with a word, in order; a unit reaches to the next one or the text's end."""
+def inner_starts(word: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which words start a unit within a sentence; `new` marks the first word of each sentence.  Of equal hashes the first is the least."""
+    key, sentence = mix(word + np.uint64(77)), np.cumsum(new)
+    least = np.ones(len(word), bool)
+    for d in range(1, REACH + 1):
+        same = sentence[d:] == sentence[:-d]
+        least[:d] = least[-d:] = False
+        least[d:] &= same & (key[d:] < key[:-d])
+        least[:-d] &= same & (key[:-d] <= key[d:])
+    return least
+
+
+def cuts(texts: pa.Array, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, row, words) of every unit with a word, in order; a unit reaches to the next one or the text's end.  `word`: `word_hashes`."""
     data, off = buffers(texts)
     start, end = word_spans(data, off)
     if not len(start):
@@ -46,7 +61,7 @@ def cuts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = slice(None, -1)
     blank = _BLANK[data[start[1:] - 1]]
     new[1:] = (row[1:] != row[gap]) | (breaks[start[1:]] > breaks[end[gap]]) | (blank & (stops[start[1:]] > stops[end[gap]])) | (blank & upper[1:] & ~upper[gap])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(new | inner_starts(word, new))
     # A unit starts after the white space that follows the one before it.
     ends = np.concatenate(([-1], np.flatnonzero(_BLANK[data] | WORD_BYTE[data])))
     begin = np.maximum(ends[np.searchsorted(ends, start[at]) - 1] + 1, off[row[at]])
@@ -55,8 +70,8 @@ def cuts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def unit_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, index in the row, two halves of the digest, words) of every unit with a word."""
-    _, row, words = cuts(texts)
     word, _ = word_hashes(texts)
+    _, row, words = cuts(texts, word)
     if not len(row):
         z = np.zeros(0, np.int64)
         return z, z, z.view(np.uint64), z.view(np.uint64), z
@@ -117,7 +132,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 runs = repeated_runs(index, words, min_words)
                 if not runs:
                     continue
-                begin, _, _ = cuts(texts.slice(i, 1))
+                begin, _, _ = cuts(texts.slice(i, 1), word_hashes(texts.slice(i, 1))[0])
                 data = kept[i].encode()
                 ends = np.append(begin[1:], len(data))
                 parts, at = [], 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import ann, components, exact_dedup, html_extract, mixing, near_dedup, packing, quality, staging, substring_dedup, url_filter, warc
+from lexweave.llm import ann, components, exact_dedup, hashing, html_extract, mixing, near_dedup, packing, quality, staging, substring_dedup, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, host string, size long"
 
@@ -190,10 +190,13 @@ def test_substring_dedup(spark):
 
 
 def test_substring_dedup_against_brute_force(spark):
-    """Every unit compared with every earlier one, over texts of few sentences, long marks and lines."""
+    """Every unit compared with every earlier one, over texts of short and long sentences, long marks and lines."""
     rng = np.random.default_rng(11)
+    many = [words(1, k) for k in range(40)]
+    shared = [" ".join(rng.choice(many, 20)) for _ in range(3)]
     made = [" ".join(rng.choice(["aa", "bb", "É", "cc"], rng.integers(1, 5))).capitalize() + str(rng.choice([".", "!", "...", "", "." * 90 + "(" * 70])) for _ in range(12)]
     rows = [(i, str(rng.choice(["", "\n ", "«" * 80])) + str(rng.choice([" ", "\n"])).join(rng.choice(made, rng.integers(0, 7))), "s") for i in range(60)]
+    rows += [(i, " ".join([*rng.choice(many, rng.integers(0, 12)), str(rng.choice(shared)), *rng.choice(many, rng.integers(0, 12))]).capitalize() + ".", "s") for i in range(60, 140)]
     word = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
 
     def units(text):
@@ -206,9 +209,19 @@ def test_substring_dedup_against_brute_force(spark):
                 while begin and text[begin - 1] not in " \t\n\r\x0b\x0c" and not word.match(text[begin - 1]):
                     begin -= 1
                 out.append([begin, []])
-            out[-1][1].append(m[0].lower())
+            out[-1][1].append((m[0].lower(), m.start()))
             last = m
-        return out
+        cut = []
+        for begin, sentence in out:
+            keys = [key(w) for w, _ in sentence]
+            heads = [k for k in range(4, len(keys) - 4) if all(keys[k] < keys[k - d] and keys[k] <= keys[k + d] for d in range(1, 5))]
+            for a, b in zip([0, *heads], [*heads, len(keys)]):
+                start = sentence[a][1] if a else begin
+                cut.append([start, [w for w, _ in sentence[a:b]]])
+        return cut
+
+    def key(w):
+        return int(hashing.mix(hashing.word_hashes(pa.array([w], pa.large_string()))[0] + np.uint64(77))[0])
 
     first, want = {}, {}
     for i, text, _ in rows:
@@ -225,7 +238,16 @@ def test_substring_dedup_against_brute_force(spark):
             k = max(j, k + 1)
         want[i] = spans
     got = {r.id: [tuple(x) for x in r.removed] for r in substring_dedup.drop_repeats(docs_of(spark, rows), min_words=6).collect()}
-    assert got == want and sum(map(len, want.values())) > 20
+    assert got == want and sum(map(len, want.values())) > 20 and sum(len(want[i]) for i in range(60, 140)) > 20
+
+
+def test_substring_dedup_within_a_sentence(spark):
+    """A passage of 60 words inside longer sentences, with no unit of theirs at its ends: its inner units go, and nothing else."""
+    passage = words(60, 900)
+    rows = [(i, f"{words(7 + i, 910 + i)} {passage} {words(11 + i, 930 + i)}", "s") for i in range(12)]
+    for r in substring_dedup.drop_repeats(docs_of(spark, rows)).collect():
+        cut = [rows[r.id][1][a:b].strip() for a, b, _ in r.removed]
+        assert r.n_removed == (r.id > 0) and all(c in passage and len(c.split()) >= 30 for c in cut)
 
 
 # 5
